@@ -27,7 +27,7 @@ from .common import batches, stage, text_of
 from .tokens import BATCH, default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
-SALT = 256
+SALT = 64
 SWEEPS = 12
 
 

@@ -8,6 +8,7 @@ The ids are those of the whole text (tests compare them).
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,8 @@ import tokenizers
 from .shingles import _BYTES, _R, _R_INVERSE, _power, mix
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces that a process remembers; beyond these it starts anew.
-REMEMBERED = 500_000
+#: Distinct pieces that a process remembers; beyond these it keeps those that came again.
+REMEMBERED = 250_000
 BATCH = 1 << 20
 _JOINED = 2000
 _BREAKS = np.zeros(256, bool)
@@ -42,12 +43,24 @@ class Encoder:
 
     def forget(self) -> None:
         self.slots: dict[int, int] = {}
+        self.names, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def shrink(self) -> None:
+        kept = np.flatnonzero(self.hits > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(np.argsort(-self.hits, kind="stable")[: REMEMBERED // 2])
+        size = self.size[kept]
+        upto = np.cumsum(size)
+        at = np.repeat(self.start[kept] - (upto - size), size) + np.arange(upto[-1] if len(kept) else 0)
+        self.flat, self.start, self.size = self.flat[at], upto - size, size
+        self.names, self.hits = self.names[kept], self.hits[kept] // 2 + 1
+        self.slots = dict(zip(self.names.tolist(), range(len(kept)), strict=True))
+
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, as uint32, and the number of each text's ids."""
         if len(self.slots) > REMEMBERED:
-            self.forget()
+            self.shrink()
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = b"".join(texts)
         if not raw:
@@ -63,11 +76,12 @@ class Encoder:
         np.cumsum(_BYTES[buf] * _power(_R, len(buf)), out=sums[1:])
         names = mix((sums[ends] - sums[starts]) * _power(_R_INVERSE, len(buf))[starts])
         unique, at, inverse = np.unique(names, return_index=True, return_inverse=True)
-        slot = np.fromiter((self.slots.get(x, -1) for x in unique.tolist()), np.int64, len(unique))
+        slot = np.fromiter(map(self.slots.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
         new = np.flatnonzero(slot < 0)
         if len(new):
             slot[new] = self._learn([raw[starts[i] : ends[i]] for i in at[new]], unique[new])
         which = slot[inverse]
+        self.hits += np.bincount(which, minlength=len(self.hits))
         size = self.size[which]
         upto = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[which] - (upto - size), size) + np.arange(upto[-1])]
@@ -98,6 +112,8 @@ class Encoder:
         slots = np.empty(len(pieces), np.int64)
         slots[order] = known + np.arange(len(pieces))
         self.slots.update(zip(names.tolist(), slots.tolist(), strict=True))
+        self.names = np.append(self.names, names[order])
+        self.hits = np.append(self.hits, np.zeros(len(pieces), np.int64))
         return slots
 
 
