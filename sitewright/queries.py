@@ -333,8 +333,8 @@ def oracle_sql() -> dict[str, str]:
         "sanitize_labels": rf"""SELECT p_partkey, CASE WHEN length(trim(p_type)) BETWEEN 1 AND 30 AND regexp_matches(p_type, '^[\p{{L}}\p{{N}} \-&/]+$') THEN trim(p_type) END AS section,
             CASE WHEN {_neuter('p_name')} NOT IN ('', p_brand) THEN {_neuter('p_name')} END AS label,
             CAST(greatest(1, least(10, floor(p_size / 2 + 0.5))) AS BIGINT) AS importance FROM part""",
-        "section_order": f"""WITH g AS (SELECT p_brand AS site, p_type AS section, count(*) AS n, avg(CAST(p_size AS DOUBLE)) + ((CASE lower(p_type) {priority} ELSE 50 END) - 50) * 0.3 AS e, min(p_partkey) AS f FROM part GROUP BY ALL),
-            m AS (SELECT *, sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY site) AS multi FROM g), k AS (SELECT * FROM m WHERE n >= 2 OR multi >= 2)
+        "section_order": f"""WITH g AS (SELECT p_brand AS site, p_type AS section, count(*) AS n, avg(CAST(p_size AS DOUBLE)) AS a, min(p_partkey) AS f FROM part GROUP BY p_brand, p_type),
+            m AS (SELECT *, sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY site) AS multi FROM g), k AS (SELECT *, a + ((CASE lower(section) {priority} ELSE 50 END) - 50) * 0.3 AS e FROM m WHERE n >= 2 OR multi >= 2)
             SELECT site, section, row_number() OVER (PARTITION BY site ORDER BY e DESC, f) AS section_rank FROM k""",
         "latest_job": _JOBS + "SELECT page_url, id, status FROM jobs QUALIFY row_number() OVER (PARTITION BY page_url ORDER BY created_at DESC, id DESC) = 1",
         "newest_status": _JOBS + "SELECT page_url, arg_max(status, (created_at, id)) AS status FROM jobs GROUP BY page_url",
