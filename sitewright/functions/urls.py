@@ -84,7 +84,6 @@ def parse_url(url: str | None, base: str | None = None) -> dict | None:
 _COLUMNS = ["scheme", "host", "port", "path", "query", "params", "normal"]
 
 
-@F.pandas_udf(URL)
 def _parse(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for urls, bases in parts:
         yield pd.DataFrame([parse_url(u, b) or dict.fromkeys(_COLUMNS) for u, b in zip(urls, bases, strict=True)], columns=_COLUMNS)
@@ -92,7 +91,7 @@ def _parse(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
 
 def parsed(url: Column, base: Column | None = None) -> Column:
     """The URL's struct; its fields are null if it cannot be parsed. Project it once and reuse it."""
-    return _parse(url, base if base is not None else F.lit(None).cast("string"))
+    return F.pandas_udf(_parse, URL)(url, base if base is not None else F.lit(None).cast("string"))
 
 
 def bare_host(host: Column) -> Column:

@@ -162,14 +162,13 @@ RAW = (
 )
 
 
-@F.pandas_udf(RAW)
 def _extract(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in pages:
         yield pd.DataFrame([extract(x) for x in s])
 
 
 def raw(html: Column) -> Column:
-    return _extract(html)
+    return F.pandas_udf(_extract, RAW)(html)
 
 
 def described(pages: DataFrame) -> DataFrame:

@@ -43,12 +43,15 @@ def rules(text: str | None, agent: str = AGENT) -> dict:
     return {"disallowed": deny[who], "sitemaps": list(maps), "crawl_delay": delay[who]}
 
 
-@F.pandas_udf("disallowed array<string>, sitemaps array<string>, crawl_delay double")
-def parsed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
         yield pd.DataFrame([rules(x) for x in s], columns=["disallowed", "sitemaps", "crawl_delay"])
 
 
+def parsed(text: Column) -> Column:
+    return F.pandas_udf(_parse, "disallowed array<string>, sitemaps array<string>, crawl_delay double")(text)
+
+
 def allowed(u: Column, disallowed: Column) -> Column:
     hit = F.exists(disallowed, lambda r: (r == "/") | F.startswith(u["path"], r))
     return F.when(F.size(disallowed) == 0, True).otherwise(F.coalesce(~hit, F.lit(False)))
