@@ -296,3 +296,37 @@ def test_pipeline(spark, tmp_path, texts):
     assert {r.doc_id for r in kept.collect()} == ok
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= ok and out.count() > 0
+
+
+def test_line_simhash(spark):
+    """Sums in lanes, folds and brute force agree, whatever the number of words or of repeated rows."""
+    from pyspark.sql import functions as F
+
+    r, ws = random.Random(11), vocabulary(11)
+    texts = [" ".join(r.choice(ws) for _ in range(n)) for n in (2, 3, 7, 8, 9, 200, 511, 512, 700)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3, "doc_id long, text string")
+    got = {x.n: x.sim for x in lines.forms(lines.line_table(docs), docs).collect()}
+    hashed = {x.w: x.h for x in spark.createDataFrame([(w,) for w in ws], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert len(got) == len(texts) - 1
+    for t in texts[1:]:
+        hs = [hashed[w] for w in t.split(" ")]
+        assert got[len(t)] == sum(1 << k for k in range(lines.BITS) if sum(h >> k & 1 for h in hs) > len(hs) // 2)
+
+
+def test_line_pairs(spark, monkeypatch):
+    """Lists that are divided give the pairs of brute force, too."""
+    r = random.Random(5)
+    base = [r.getrandbits(lines.BITS) for _ in range(40)]
+    sims = sorted({b ^ sum(1 << r.randrange(lines.BITS) for _ in range(r.randint(0, 2))) & (1 << lines.BITS) - 1 for b in base for _ in range(6)})
+    known = spark.createDataFrame([(i, s, 100 + i % 30) for i, s in enumerate(sims)] + [(1000, sims[3], 103)], "id long, sim long, n int")
+    ids = {r.id: (r.sim, r.n) for r in known.collect()}
+    expected = {
+        (a, b) for a in ids for b in ids
+        if (ids[a][0], a) < (ids[b][0], b) and bin(ids[a][0] ^ ids[b][0]).count("1") <= lines.DISTANCE and min(ids[a][1], ids[b][1]) >= lines.SIMILAR * max(ids[a][1], ids[b][1])
+    }
+    for short in (1024, 3):
+        monkeypatch.setattr(lines, "SHORT", short)
+        got = {(r.p, r.x) for r in lines._candidates(known).collect()}
+        assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in expected}
+        if short == 1024:
+            assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in expected}
