@@ -1,8 +1,10 @@
-"""Components of similar items from inverted lists, without emitting all pairs of a list.
+"""Components of similar items from inverted lists: those of all fitting pairs of all lists.
 
 In each list of two or more components a pivot is paired with every other member: as many pairs as members. Later rounds
-draw other pivots, another one in each list, in a part of the lists each. Lists of up to ``SHORT`` members that are still not one
-component are then paired in full. Pairs are verified by the caller; lists whose members are connected need no more.
+draw another pivot in each list. Lists that are still not one component are then paired in full, but for pairs within a
+component; a list of more than ``BLOCK`` members is cut into blocks, whose pairs are separate groups of rows, so that
+one list is not one task. Pairs are verified by the caller; lists whose members are connected need no more. Pairs of an
+open list grow with the square of its length where its members are alike and yet not linked.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import components, stage, unstage
 
-SHORT = 32
+BLOCK = 256
 
 
 def _open_lists(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -29,19 +31,21 @@ def _fitting(pairs: DataFrame, fits: Callable[[Column, Column], Column]) -> Data
     return pairs.where(fit).select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
 
 
-def _other(members: DataFrame) -> DataFrame:
-    return members.select("key", F.col("x").alias("p"), F.col("m").alias("p_m"), F.col("c").alias("p_c"))
-
-
 def _pivoted(members: DataFrame, order: Column, fits: Callable[[Column, Column], Column]) -> DataFrame:
     pivots = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("x").alias("p"), F.col("m").alias("p_m"), F.col("c").alias("p_c"))).alias("pivot"))
     return _fitting(members.join(pivots.select("key", "pivot.p", "pivot.p_m", "pivot.p_c"), "key"), fits)
 
 
-def _short_pairs(members: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
-    short = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= SHORT).select("key")
-    members = members.join(short, "key")
-    return _fitting(members.join(_other(members), "key").where(F.col("p") < F.col("x")), fits)
+def _all_pairs(members: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """Every fitting pair of each list's members of different components."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "x", "m", "c")
+    other = cells.select("key", "lo", "hi", F.col("b").alias("p_b"), F.col("x").alias("p"), F.col("m").alias("p_m"), F.col("c").alias("p_c"))
+    # In a cell of two blocks, pairs of one block are left to the cell of that block.
+    once = ((F.col("lo") == F.col("hi")) | (F.col("b") != F.col("p_b"))) & (F.col("p") < F.col("x"))
+    return _fitting(cells.join(other, ["key", "lo", "hi"]).where(once), fits)
 
 
 def link(
@@ -50,7 +54,6 @@ def link(
     fits: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     rounds: int = 3,
-    parts: int = 4,
 ) -> DataFrame:
     """(node, component) of items linked with another.
 
@@ -66,9 +69,9 @@ def link(
         if k == 0:
             pairs = _pivoted(members, first, fits)
         elif k < rounds:
-            pairs = _pivoted(members.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k % parts), F.xxhash64("key", "x"), fits)
+            pairs = _pivoted(members, F.xxhash64("key", "x", F.lit(k)), fits)
         else:
-            pairs = _short_pairs(members, fits)
+            pairs = _all_pairs(members, fits)
         fresh = stage(pairs if done is None else pairs.join(done.select("p", "x"), ["p", "x"], "left_anti"), "pairs")
         checked = verify(fresh, items)
         unstage(fresh)

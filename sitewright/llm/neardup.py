@@ -4,8 +4,8 @@
 2. Documents with equal sets are one class; only a class's representative goes on.
 3. Inverted lists: the keys are runs of ``RUN`` neighbouring retained values (single values for very small sets). Two
    sets with the wanted similarity share a run but for a chance below 1e-9; small sets share one for certain.
-4. ``linking.link`` pairs pivots with the other members of lists that are not yet one component, then short lists in
-   full. The union of the two sketches estimates a pair's similarity, and pairs that may reach the threshold are
+4. ``linking.link`` pairs pivots with the other members of lists that are not yet one component, then what is left of
+   these in full. The union of the two sketches estimates a pair's similarity, and pairs that may reach the threshold are
    verified on full sets.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; fewer words than the

@@ -9,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
-from sitewright.llm import audio, chunks, common, langid, lines, mixing, neardup, packing, quality, secrets, shingles, tokens, tokenstore
+from sitewright.llm import audio, chunks, common, langid, lines, linking, mixing, neardup, packing, quality, secrets, shingles, tokens, tokenstore
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, id string, key string"
@@ -106,6 +107,41 @@ def test_near_duplicates(docs, texts, width, percent):
             assert r.kept == (r.component_id == r.doc_id)
 
 
+def test_near_duplicates_of_one_original(spark):
+    """Copies that are each like the original and less like one another: lists are long and few pivots link."""
+    r, ws = random.Random(11), vocabulary(11, 4000)
+    texts = []
+    for size, copies in ((200, 300), (120, 150)):
+        original = [r.choice(ws) for _ in range(size)]
+        made = [original]
+        for _ in range(copies):
+            copy = list(original)
+            for at in r.sample(range(size), size // 50):
+                copy[at] = r.choice(ws)
+            made.append(copy)
+        texts += [" ".join(m) for m in made]
+    order = r.sample(range(len(texts)), len(texts))
+    texts = [texts[k] for k in order]
+    sets = {}
+    for i, t in enumerate(texts):
+        x = t.split()
+        sets[i] = {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    expected = _components(sets, 85)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 85).collect()}
+    assert got == expected
+
+
+def test_links_of_long_lists(spark, monkeypatch):
+    """Every pair of a long list is tried, in whichever blocks it lies."""
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    n = 120
+    keyed = spark.createDataFrame([(1, i, 100) for i in range(n)] + [(2, i, 100) for i in range(0, n, 2)], "key long, x long, m long")
+    # Only i and n - 1 - i are linked: no pivot has more than one link.
+    verify = lambda pairs, _: common.stage(pairs.select("p", "x", (F.col("p") + F.col("x") == n - 1).alias("linked")), "tried")
+    got = {r.node: r.component for r in linking.link(keyed, F.col("m"), lambda a, b: a == b, verify).collect()}
+    assert got == {i: min(i, n - 1 - i) for i in range(n)}
+
+
 def test_quality(docs, texts):
     for r in quality.digest(docs).collect():
         t = (texts[r.doc_id] if r.doc_id is not None else "a text without an id, which is kept") or ""
