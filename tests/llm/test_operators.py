@@ -372,3 +372,30 @@ def test_line_pairs(spark, monkeypatch):
             sets[a] = sets[b] = min(sets[a], sets[b])
     got = {r.node: r.component for r in lines.links(known, None, None).collect()}
     assert {i: got.get(i, i) for i in ids} == sets
+
+
+def test_long_line_lists(spark, monkeypatch):
+    """Lists above SHORT lose no pair, whichever bits differ: each pair is linked by itself alone."""
+    monkeypatch.setattr(lines, "SHORT", 4)
+    r = random.Random(9)
+    base = r.getrandbits(lines.BITS)
+    # SimHashes that share blocks with the base and are far from it, so that its lists are long.
+    held = lines._cut(0, lines.BITS, lines.DISTANCE + 2)
+    sims = {base}
+    for two in lines._MASKS:
+        sims |= {base & two | r.getrandbits(lines.BITS) & ~two & (1 << lines.BITS) - 1 for _ in range(12)}
+    sims = sorted(sims)
+    for bits in [(26, 40, 55), (0, 1, 2), (13, 30, 62), *(tuple(r.sample(range(lines.BITS), 3)) for _ in range(30))]:
+        sims += [s ^ sum(1 << k for k in bits) for s in r.sample(sims[: len(held) * 8], 2)]
+    sims = sorted(set(sims))
+    near = lambda a, b: bin(a ^ b).count("1") <= lines.DISTANCE
+    known = spark.createDataFrame([(i, s, 100) for i, s in enumerate(sims)], "id long, sim long, n int")
+    tried = set()
+
+    def verified(pairs, *_):
+        tried.update((x.p, x.x) for x in pairs.collect())
+        return pairs.where("false").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+    monkeypatch.setattr(lines, "_verified", verified)
+    lines.links(known, None, None)
+    assert tried == {(a, b) for b in range(len(sims)) for a in range(b) if near(sims[a], sims[b])}
