@@ -54,17 +54,21 @@ def link(
     fits: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     rounds: int = 3,
+    comps: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of items linked with another.
 
     ``keyed``: (key, x, m) with the item's list, id and attributes; ``first``: order of the first pivots; ``fits``: a
     condition on two items' attributes that every linked pair meets; ``verify``: (p, x, linked) of staged pairs (p, x),
-    given all members of lists, too.
+    given all members of lists, too; ``comps``: components known beforehand, by which lists may be closed already.
     """
     twice = keyed.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high")).where(F.col("low") < F.col("high"))
     members = stage(keyed.withColumn("c", F.col("x")).join(twice.select("key"), "key"), "lists")
     items = stage(members.select("x").distinct(), "listed")
-    done = comps = None
+    known, done = comps, None
+    if known is not None:
+        before, members = members, stage(_open_lists(members, known), "lists")
+        unstage(before)
     for k in range(rounds + 1):
         if k == 0:
             pairs = _pivoted(members, first, fits)
@@ -76,7 +80,10 @@ def link(
         checked = verify(fresh, items)
         unstage(fresh)
         done = checked if done is None else done.unionByName(checked)
-        comps = stage(components(done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))), "components")
+        edges = done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        if known is not None:
+            edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        comps = stage(components(edges), "components")
         if k < rounds:
             after = stage(_open_lists(members, comps), "lists")
             unstage(members)

@@ -399,3 +399,16 @@ def test_long_line_lists(spark, monkeypatch):
     monkeypatch.setattr(lines, "_verified", verified)
     lines.links(known, None, None)
     assert tried == {(a, b) for b in range(len(sims)) for a in range(b) if near(sims[a], sims[b])}
+
+
+def test_lines_with_one_word_changed(spark):
+    r, ws = random.Random(3), [w + "xyz" for w in vocabulary(13, 3000)]
+    rows = []
+    for k in range(120):
+        line = [r.choice(ws) for _ in range([5, 8, 9, 12, 20, 30][k % 6])]
+        other = list(line)
+        at = r.randrange(len(line))
+        other[at] = other[at][:-1] + "q"
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    got = {x.doc_id: x.n_lines_gone for x in lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
