@@ -90,6 +90,11 @@ def importance(c: Column) -> Column:
     return F.coalesce(F.least(F.greatest(round_half_up(c), F.lit(1)), F.lit(10)), F.lit(5))
 
 
+def home_summary(description: Column, provenance: Column) -> Column:
+    """The home page's description where it comes from a source to be trusted."""
+    return F.when((description != "") & provenance.isin("json_ld", "og", "meta", "llm"), description)
+
+
 def first_sentence(excerpt: Column) -> Column:
     """The first sentence of 21 to 299 characters' worth, if the first match has that length."""
     s = trim(F.regexp_extract(excerpt, r"[^.!?\n]{20,}[.!?]", 0))

@@ -1,4 +1,4 @@
-"""Scoring, sections, selection, labels, assembly and validation of pages."""
+"""Scoring, sections, selection, labels, assembly and validation of pages."""
 
 from __future__ import annotations
 
@@ -22,6 +22,12 @@ _SECTIONS = (
 _CHROME = r"(?i)cookie|privacy|consent|preference center|sign\s*in|log\s*in|menu"
 
 
+def without_tagline(pages: DataFrame) -> DataFrame:
+    """pages other than the home page (``home_pos``) lose a description that is the home page's."""
+    same = F.coalesce((F.col("pos") != F.col("home_pos")) & (T.trim(F.col("home_description")) != "") & (T.trim(F.col("description")) == T.trim(F.col("home_description"))), F.lit(False))
+    return pages.withColumns({"description_provenance": F.when(same, "none").otherwise(F.col("description_provenance")), "description": F.when(~same, F.col("description"))})
+
+
 def score(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     """O1: adds score and is_optional to (site, url, u, genre, primary_lang, ..); enrichment is (url, importance, description,
     description_provenance, section, display_label)."""

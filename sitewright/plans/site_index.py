@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import urls
 from ..functions.genre import genre
 from ..operators import pages as P
@@ -26,10 +27,10 @@ def scored(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"), F.array_sort(F.collect_list(F.struct("pos", "url")))["url"].alias("all"))
     homes = homes.select(F.col("site").alias("_site"), genre(F.col("home"), F.col("all"), F.col("site")).alias("genre"))
     d = materialize(html.described(rows).drop("x"), "described")
-    first = d.groupBy("site").agg(F.min_by(F.struct("lang", "site_name", "description", "description_provenance"), "pos").alias("h"))
-    first = first.select(F.col("site").alias("_s"), F.coalesce(urls.base_language(F.col("h.lang")), F.lit("en")).alias("primary_lang"), F.col("h.site_name").alias("_name"))
+    first = d.groupBy("site").agg(F.min_by(F.struct("lang", "site_name", "description"), "pos").alias("h"), F.min("pos").alias("home_pos"))
+    first = first.select(F.col("site").alias("_s"), F.coalesce(urls.base_language(F.col("h.lang")), F.lit("en")).alias("primary_lang"), F.col("h.site_name").alias("_name"), F.col("h.description").alias("home_description"), "home_pos")
     d = d.join(homes, F.col("site") == F.col("_site")).join(first, F.col("site") == F.col("_s")).withColumn("site_name", F.col("_name")).drop("_site", "_s", "_name")
-    return P.score(d, enrichment)
+    return P.score(P.without_tagline(d).drop("home_description", "home_pos"), enrichment)
 
 
 def build_index(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
@@ -39,7 +40,9 @@ def build_index(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFr
     chosen = P.select(s.withColumn("base", base))
     placed = materialize(P.labels(materialize(P.ordered(P.grouped(chosen)), "ordered")), "placed")
     sites = placed.groupBy("site").agg(F.first("site_name").alias("site_name"))
-    sites = sites.withColumn("summary", F.lit(None).cast("string")).withColumn("notice", F.lit(None).cast("string"))
+    home = s.groupBy(F.col("site").alias("_h")).agg(F.min_by(F.struct("description", "description_provenance"), "pos").alias("h"))
+    home = home.select("_h", T.home_summary(F.col("h.description"), F.col("h.description_provenance")).alias("summary"))
+    sites = sites.join(home, F.col("site") == F.col("_h"), "left").drop("_h").withColumn("notice", F.lit(None).cast("string"))
     files = materialize(P.assemble(placed, sites), "files")
     faults = P.validate(files).groupBy(F.col("site").alias("_f")).agg(F.count("*").alias("n"))
     return files.join(faults, F.col("site") == F.col("_f"), "left").withColumn("n_faults", F.coalesce("n", F.lit(0)).cast("long")).drop("_f", "n")

@@ -1,4 +1,4 @@
-"""Page extraction (X1, X2, X4, X6-X9, S11, S12): one parse of each page in an Arrow function, rules on its result native."""
+"""Page extraction (X1, X2, X4, X6-X9, S11): one parse of each page in an Arrow function, rules on its result native."""
 
 from __future__ import annotations
 

@@ -9,6 +9,7 @@ from sitewright.functions import text as T
 from sitewright.functions import urls
 from sitewright.functions.genre import genre
 from sitewright.operators import pages, store
+from sitewright.plans import site_index
 from sitewright.sources import html, robots
 from sitewright.streaming import rate_limit
 
@@ -130,6 +131,18 @@ def test_t1_stream_equals_batch(spark, tmp_path):
     assert got == {(r.key, r.event): r.allowed for r in batch.collect()} and sum(got.values()) == 313
 
 
+def test_f9_x25_home_description(spark):
+    page = '<html lang="en"><head><title>{0}</title><meta name="description" content="{1}"></head><body><h1>{0}</h1><p>Some text of the page.</p></body></html>'
+    tagline = "The one tagline that many pages of this site repeat."
+    rows = [(1, "https://a.test/", page.format("Home page", tagline)), (2, "https://a.test/docs/x", page.format("Guide", f" {tagline} ")), (3, "https://a.test/docs/y", page.format("Other", "A description that only this page has."))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.pos: r for r in site_index.scored(pages).collect()}
+    assert [(got[k].description is None, got[k].description_provenance) for k in (1, 2, 3)] == [(False, "meta"), (True, "none"), (False, "meta")]
+    assert got[3].score - got[2].score == 25
+    (site,) = site_index.build_index(pages).collect()
+    assert f"\n\n> {tagline}\n\n" in site.file and site.file.count(tagline) == 1 and site.n_faults == 0
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and all(r.n_faults == 0 for r in rows)
