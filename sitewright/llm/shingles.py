@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = {}
 
 
@@ -41,16 +43,22 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z in lower case, and the index of each word's text."""
+    """Hashes of the words of all texts, A-Z in lower case, and the index of each word's text. Words of up to 16 bytes
+    are mixed from all their bytes at once, longer ones are named by a cryptographic digest."""
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    buf = np.frombuffer((b"\n".join(texts) + b"\n").translate(_LOWER), np.uint8)
+    raw = (b"\n".join(texts) + b"\n" * 17).translate(_LOWER)
+    buf = np.frombuffer(raw, np.uint8, len(raw) - 16)
     ws = _IS_WS[buf]
     inside = np.concatenate(([False], ~ws, [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * _power(_R, len(buf)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_R_INVERSE, len(buf))[starts])
+    n = ends - starts
+    at_byte = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    head = at_byte[starts] & _MASKS[np.minimum(n, 8)]
+    tail = at_byte[np.minimum(starts + 8, len(raw) - 8)] & _MASKS[np.clip(n - 8, 0, 8)]
+    hashes = mix(head + mix(tail + n.astype(np.uint64) * np.uint64(_R)))
+    for i in np.flatnonzero(n > 16).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
     owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
     return hashes, owner
 

@@ -40,32 +40,39 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def cut(ids: np.ndarray) -> list[np.ndarray]:
-    """A stream's chunks: cut behind ids where the hash of the last SPAN ids has its top bits zero, at least LEAST and at
-    most MOST ids apart."""
-    if len(ids) <= LEAST:
-        return [ids]
-    h = (mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+def cut_places(flat: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """Where the chunks of streams end that lie one behind the other in ``flat``, the k-th up to ``bounds[k]``: behind ids where
+    the hash of the last SPAN ids has its top bits zero, at least LEAST and at most MOST ids apart. As LEAST exceeds SPAN,
+    no hash that decides reaches into the stream before."""
+    h = (mix(flat.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
     width = 1
     while width < SPAN:
         longer = h.copy()
         longer[width:] += h[:-width] << np.uint32(4 * width)
         h, width = longer, 2 * width
-    ends, last = [], 0
-    for e in [*(np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist(), len(ids)]:
-        while e - last > MOST:
-            last += MOST
-            ends.append(last)
-        if e - last >= LEAST and e < len(ids):
-            ends.append(e)
-            last = e
-    return np.split(ids, ends) if ends else [ids]
+    marks = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+    upto = np.searchsorted(marks, bounds).tolist()
+    marks = marks.tolist()
+    ends, last, k = [], 0, 0
+    for bound, high in zip(bounds.tolist(), upto, strict=True):
+        for e in [*marks[k:high], bound]:
+            while e - last > MOST:
+                last += MOST
+                ends.append(last)
+            if e == bound or e - last >= LEAST:
+                ends.append(e)
+                last = e
+        k = high + (high < len(marks) and marks[high] == bound)
+    return ends
+
+
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """A row for each chunk: digest, n, data; and on a document's first chunk doc_id and recipe."""
     kinds = "digest binary, n int, data binary, is_first boolean, doc_id bigint, recipe array<binary>, n_tokens bigint"
-    kind = f"<u{ID_BYTES}"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
@@ -73,16 +80,28 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         rows = ((i.as_py(), t.as_py().encode()) for b in frames for i, t in zip(b.column(0), b.column(1), strict=True))
         for part in batches(rows, lambda r: len(r[1]), BATCH):
             flat, counts = tok.batch([t for _, t in part])
-            out = []
-            for (doc_id, _), ids in zip(part, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-                pieces = cut(np.append(ids, np.uint32(end_id)))
-                datas = [p.astype(kind).tobytes() for p in pieces]
-                names = [_digest(d) for d in datas]
-                for k, (p, d, name) in enumerate(zip(pieces, datas, names, strict=True)):
-                    out.append((name, len(p), d, k == 0, doc_id, None if k else names, None if k else len(ids) + 1))
-            cols = zip(*out, strict=True)
-            types = (pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.binary()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["digest", "n", "data", "is_first", "doc_id", "recipe", "n_tokens"])
+            flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+            counts = counts + 1
+            bounds = np.cumsum(counts)
+            ends = np.array(cut_places(flat, bounds), np.int64)
+            offsets = np.concatenate(([0], ends))
+            data = flat.astype(f"<u{ID_BYTES}").tobytes()
+            view = memoryview(data)
+            at = (offsets * ID_BYTES).tolist()
+            names = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at, at[1:])])
+            digests = _binary(np.arange(len(ends) + 1) * 16, names)
+            firsts = np.searchsorted(offsets, np.concatenate(([0], bounds[:-1])))
+            is_first = np.zeros(len(ends), bool)
+            is_first[firsts] = True
+            # A document's recipe is at its first chunk, the other rows have none.
+            document = np.cumsum(is_first) - 1
+            recipe_ends = np.append(firsts[1:], len(ends))[document]
+            recipes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], recipe_ends)).astype(np.int32)), digests)
+            ids = pa.array([i for i, _ in part], pa.int64()).take(pa.array(document))
+            yield pa.RecordBatch.from_arrays(
+                [digests, pa.array(np.diff(offsets).astype(np.int32)), _binary(offsets * ID_BYTES, data), pa.array(is_first), ids, recipes, pa.array(counts[document])],
+                ["digest", "n", "data", "is_first", "doc_id", "recipe", "n_tokens"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kinds)
 
@@ -135,34 +154,29 @@ def store_root(spark: SparkSession, folder: str) -> str:
 _POLY = 0xEDB88320
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC's, bits reflected."""
-    out = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo the CRC's, bits reflected."""
+    a, b, out = a.astype(np.uint32), b.astype(np.uint32), np.zeros(np.broadcast(a, b).shape, np.uint32)
     for k in range(31, -1, -1):
-        if a >> k & 1:
-            out ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
+        out ^= np.where(a >> np.uint32(k) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(_POLY), np.uint32(0))
     return out
 
 
-_shifts = {0: 1 << 31}
-
-
-def _shift(n: int) -> int:
-    """x to the power of 8 n."""
-    if n not in _shifts:
-        half = _shift(n // 2)
-        square = _times(half, half)
-        _shifts[n] = _times(square, 1 << 23) if n % 2 else square
-    return _shifts[n]
-
-
-def crc_joined(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of bytes from (crc, length) of their parts."""
-    out = 0
-    for crc, n in parts:
-        out = _times(_shift(n), out) ^ crc
-    return out
+def crcs_joined(owner: np.ndarray, crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each owner's bytes from the CRCs and sizes of their parts, which stand in order, owner by owner: the
+    exclusive or of the parts' CRCs, each times x to the power of the number of bits behind the part."""
+    n = int(owner[-1]) + 1 if len(owner) else 0
+    upto = np.cumsum(sizes)
+    total = upto[np.searchsorted(owner, np.arange(n), side="right") - 1] if n else upto
+    behind = total[owner] - upto
+    out, power = crcs.astype(np.uint32), np.array([1 << 23], np.uint32)  # x to the 8
+    while behind.any():
+        odd = np.flatnonzero(behind & 1)
+        out[odd] = _times(out[odd], power)
+        power, behind = _times(power, power), behind >> 1
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    return np.bitwise_xor.reduceat(out, starts) if n else out
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,10 +187,9 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
         for b in frames:
             crcs = []
             for name, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.frombuffer(data, f"<u{ID_BYTES}")
-                if _digest(data) != name or len(ids) != n:
+                if _digest(data) != name or len(data) != n * ID_BYTES:
                     raise ValueError("a chunk differs from its digest")
-                crcs.append(zlib.crc32(ids.astype("<u4")))
+                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{ID_BYTES}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), b.column(1), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
     return spark.read.parquet(f"{folder}/chunks").select("digest", "n", "data").mapInArrow(run, "digest binary, n int, crc bigint")
@@ -195,12 +208,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            out = []
-            for n, sound, cs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if not sound or any(c["n"] is None for c in cs) or sum(c["n"] for c in cs) != n:
-                    raise ValueError("a recipe cannot be followed")
-                out.append(crc_joined([(c["crc"], 4 * c["n"]) for c in cs]))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            if not b.num_rows:
+                continue
+            parts = b.column(4).flatten()
+            owner = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy(zero_copy_only=False))
+            n = parts.field("n").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = np.bincount(owner, n, b.num_rows).astype(np.int64)
+            sound = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            if not sound.all() or (n < 0).any() or (found != b.column(2).to_numpy(zero_copy_only=False)).any():
+                raise ValueError("a recipe cannot be followed")
+            crcs = crcs_joined(owner, parts.field("crc").to_numpy(zero_copy_only=False), 4 * n)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(crcs.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return docs.select("start", "doc_id", "n_tokens", "sound", "cs").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
