@@ -1,4 +1,4 @@
-"""Text functions as Catalyst expressions."""
+"""Text functions as Catalyst expressions."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as the web platform counts it.
-JS_WS = r"\t\n\x0B\f\r    -     　﻿"
+JS_WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def _all(c: Column, *steps: tuple[str, str]) -> Column:
@@ -57,6 +57,12 @@ def clean_site_name(c: Column) -> Column:
     return F.when(F.length(chosen).between(2, 60), chosen)
 
 
+def looks_like_host(value: Column, host: Column) -> Column:
+    """A name that is the host itself, a part of it at either end, or a bare domain."""
+    low, bare = F.lower(value), F.regexp_replace(F.lower(host), r"^www\.", "")
+    return bare.endswith(low) | low.endswith(bare) | low.rlike(r"^[\w-]+\.[a-z]{2,6}\z")
+
+
 def site_name_from_host(host: Column) -> Column:
     return title_case(_all(F.element_at(F.split(_all(host, (r"^www\.", "")), r"\."), 1), ("-", " ")))
 
@@ -87,7 +93,7 @@ def sanitize_label(c: Column, title: Column, most: int = 80) -> Column:
 
 
 def importance(c: Column) -> Column:
-    return F.coalesce(F.least(F.greatest(round_half_up(c), F.lit(1)), F.lit(10)), F.lit(5))
+    return F.when(c.isNull(), 5).otherwise(F.least(F.greatest(round_half_up(c), F.lit(1)), F.lit(10)))
 
 
 def home_summary(description: Column, provenance: Column) -> Column:

@@ -1,9 +1,12 @@
-"""URL functions (U1-U29). One Arrow function parses; everything else is Catalyst expressions over its struct."""
+"""URL functions (U1-U27). One Arrow function parses; everything else is Catalyst expressions over its struct."""
 
 from __future__ import annotations
 
+import ipaddress
+import re
+import unicodedata
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,6 +48,79 @@ def _dots(path: str) -> str:
     return "/" + "/".join(out)
 
 
+_SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):")
+_FORBIDDEN = re.compile(r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]")
+
+
+def _number(part: str) -> int | None:
+    """A part of an IPv4 address: decimal, octal with a leading 0, or hexadecimal with 0x."""
+    base = 16 if part[:2].lower() == "0x" else 8 if len(part) > 1 and part[0] == "0" else 10
+    digits = part[2:] if base == 16 else part[1:] if base == 8 else part
+    if not digits:
+        return 0 if base != 10 else None
+    return int(digits, base) if re.fullmatch({16: "[0-9A-Fa-f]+", 8: "[0-7]+", 10: "[0-9]+"}[base], digits) else None
+
+
+def _ipv4(host: str) -> str | None:
+    """The address of a host whose last part is a number; ValueError if it has none."""
+    parts = host.split(".")
+    if len(parts) > 1 and parts[-1] == "":
+        parts.pop()
+    if not (parts[-1].isascii() and parts[-1].isdigit() or re.fullmatch("0[xX][0-9A-Fa-f]*", parts[-1])):
+        return None
+    numbers = [_number(p) if p else None for p in parts]
+    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(parts)):
+        raise ValueError(host)
+    value = numbers[-1] + sum(n << 8 * (3 - k) for k, n in enumerate(numbers[:-1]))
+    return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+
+
+def _ipv6(host: str) -> str:
+    groups = [int.from_bytes(ipaddress.IPv6Address(host).packed[k : k + 2]) for k in range(0, 16, 2)]
+    zeros = max((m.span() for m in re.finditer("0+", "".join("0" if g == 0 else "1" for g in groups))), key=lambda s: (s[1] - s[0], -s[0]), default=(0, 0))
+    text = [f"{g:x}" for g in groups]
+    if zeros[1] - zeros[0] < 2:
+        return ":".join(text)
+    return ":".join(text[: zeros[0]]) + "::" + ":".join(text[zeros[1] :])
+
+
+def _host(raw: str) -> str:
+    """A host as browsers write it; ValueError if it isn't one."""
+    if raw.startswith("["):
+        if not raw.endswith("]") or "%" in raw:
+            raise ValueError(raw)
+        return f"[{_ipv6(raw[1:-1])}]"
+    host = unicodedata.normalize("NFKC", unquote(raw, errors="strict").lower()).lower().replace("\u3002", ".").replace("\u00AD", "")
+    if not host.isascii():  # sharp s and final sigma stay letters of their own
+        host = ".".join(p if p.isascii() else "xn--" + p.encode("punycode").decode() for p in host.split("."))
+    if not host or _FORBIDDEN.search(host):
+        raise ValueError(raw)
+    return _ipv4(host) or host
+
+
+def _split(text: str, base: str | None) -> tuple[str, str, str, str]:
+    """(scheme, authority, path, query) of a URL, relative ones taken at their base; without a fragment."""
+    text = text.split("#", 1)[0]
+    found = _SCHEME.match(text)
+    scheme = found[1].lower() if found else None
+    rest = text[found.end() :] if found else text
+    head, mark, query = rest.partition("?")
+    base_scheme = _SCHEME.match(base)[1].lower() if base and _SCHEME.match(base) else None
+    if (scheme or base_scheme) in _PORTS:
+        head = head.replace("\\", "/")
+    if scheme and scheme not in _PORTS:
+        return scheme, "", head, query
+    if scheme and (scheme != base_scheme or head.startswith("/")):
+        authority, _, path = head.lstrip("/").partition("/")
+        return scheme, authority, "/" + path, query
+    if not base_scheme:
+        raise ValueError(text)
+    if not scheme and head.startswith("//"):
+        authority, _, path = head.lstrip("/").partition("/")
+        return base_scheme, authority, "/" + path, query
+    return _split(urljoin(base, head + mark + query), None)
+
+
 def parse_url(url: str | None, base: str | None = None) -> dict | None:
     """The parts of an absolute URL, percent-encoded as browsers do, and its normal form (http and https only); None if
     it cannot be parsed."""
@@ -52,32 +128,24 @@ def parse_url(url: str | None, base: str | None = None) -> dict | None:
         return None
     try:
         text = url.strip("".join(map(chr, range(33)))).replace("\t", "").replace("\n", "").replace("\r", "")
-        u = urlsplit(urljoin(base, text) if base else text)
-        scheme = u.scheme.lower()
-        if not scheme:
-            return None
+        scheme, authority, path, raw_query = _split(text, base)
         if scheme not in _PORTS:
-            return {"scheme": scheme, "host": "", "port": "", "path": u.path, "query": u.query, "params": [], "normal": None}
-        host = (u.hostname or "").lower()
-        if not host or any(c in host for c in " <>^|%#\\"):
+            return {"scheme": scheme, "host": "", "port": "", "path": path, "query": raw_query, "params": [], "normal": None}
+        place = authority.rpartition("@")[2]
+        name, digits = re.fullmatch(r"(\[.*\]|[^:]*)(?::(.*))?", place).groups()
+        host = _host(name)
+        if digits and not (digits.isascii() and digits.isdigit() and int(digits) < 65536):
             return None
-        if not host.isascii():
-            host = host.encode("idna").decode()
-        if ":" in host:
-            host = f"[{host}]"
-        port = "" if u.port in (None, _PORTS[scheme]) else str(u.port)
-        path = _dots(quote((u.path or "/").replace("\\", "/"), safe="!$%&'()*+,/:;=@[]^_|~-."))
-        query = quote(u.query, safe="!$%&()*+,/:;=?@[]^_`{|}~-.\\")
-        params = parse_qsl(u.query, keep_blank_values=True)
+        port = "" if not digits or int(digits) == _PORTS[scheme] else str(int(digits))
+        path = _dots(quote(path, safe="!$%&'()*+,/:;=@[]^_|~-."))
+        query = quote(raw_query, safe="!$%&()*+,/:;=?@[]^_`{|}~-.\\")
+        params = parse_qsl(raw_query, keep_blank_values=True)
         kept = [p for p in params if p[0].lower() not in TRACKING_PARAMS]
-        if len(kept) < len(params):
-            clean = urlencode(kept, safe="*-._")
-        else:
-            clean = query
+        clean = urlencode(kept, safe="*-._") if len(kept) < len(params) else query
         bare = path.rstrip("/") or "/"
         normal = f"{scheme}://{host}{':' + port if port else ''}{bare}{'?' + clean if clean else ''}" if scheme in ("http", "https") else None
         return {"scheme": scheme, "host": host, "port": port, "path": path, "query": query, "params": [{"k": k, "v": v} for k, v in params], "normal": normal}
-    except (ValueError, UnicodeError):
+    except (ValueError, UnicodeError, AttributeError):
         return None
 
 
@@ -94,6 +162,11 @@ def parsed(url: Column, base: Column | None = None) -> Column:
     return F.pandas_udf(_parse, URL)(url, base if base is not None else F.lit(None).cast("string"))
 
 
+def written(u: Column) -> Column:
+    """A parsed URL put together again, parameters and a closing slash kept."""
+    return F.concat(origin(u), u["path"], F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""))
+
+
 def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 

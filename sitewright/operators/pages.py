@@ -1,4 +1,4 @@
-"""Scoring, sections, selection, labels, assembly and validation of pages."""
+"""Scoring, sections, selection, labels, assembly and validation of pages."""
 
 from __future__ import annotations
 
@@ -73,7 +73,7 @@ def select(pages: DataFrame, most_primary: int = 50, most_optional: int = 10) ->
     df = pages.withColumn("_key", F.coalesce(urls.comparison_key(F.col("u")), F.col("url")))
     best = Window.partitionBy("site", "_key").orderBy(F.desc("score"), "pos")
     df = df.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
-    home = (F.col("_key") == urls.comparison_key(F.col("base"))) | (urls.same_domain(F.col("u"), F.col("base")) & F.col("_key").endswith(F.col("u.host")))
+    home = (F.col("_key") == urls.comparison_key(F.col("base"))) | ((F.col("u.host") == F.col("base.host")) & (F.col("u.path") == "/"))
     home = F.coalesce(home, F.lit(False))
     kind = F.when(~home & (F.col("score") >= PRIMARY) & (F.col("section") != "Optional"), "primary").when(~home & F.col("is_optional"), "optional")
     df = df.withColumn("_home", home).withColumn("kind", kind)
@@ -149,9 +149,11 @@ def entry(url: Column, label: Column, description: Column) -> Column:
 
 
 def assemble(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """(site, n_primary, n_optional, file) of labelled, ordered pages; sites is (site, site_name, summary, notice).
-    A site's entries are at most those that ``select`` keeps."""
-    e = pages.withColumn("line", entry(F.col("url"), F.col("label"), F.col("description")))
+    """(site, n_primary, n_optional, file) of labelled, ordered pages; sites is (site, site_name, summary, notice) and may
+    have a preamble. A site's entries are at most those that ``select`` keeps."""
+    has = lambda c, other: F.coalesce(c, other) if c in pages.columns else F.col(other)
+    shown = F.when(F.col("description_provenance") != "none", F.col("description")) if "description_provenance" in pages.columns else F.col("description")
+    e = pages.withColumn("line", entry(has("md_url", "url"), F.coalesce(has("label_override", "label"), has("title", "label")), shown))
     body = e.groupBy("site").agg(
         F.array_sort(F.collect_list(F.struct("entry_rank", "final_section", "line"))).alias("es"),
         F.sum((F.col("final_section") != "Optional").cast("long")).alias("n_primary"), F.sum((F.col("final_section") == "Optional").cast("long")).alias("n_optional"),
@@ -161,7 +163,9 @@ def assemble(pages: DataFrame, sites: DataFrame) -> DataFrame:
     out = sites.join(body, "site", "left")
     quote = F.when(F.length(T.trim(F.col("summary"))) > 0, F.concat(F.lit("> "), T.trim(F.regexp_replace("summary", r"\r?\n", " ")), F.lit("\n\n"))).otherwise("")
     warn = F.when(F.col("notice").isNotNull(), F.concat(F.lit("> ⚠️ "), F.col("notice"), F.lit("\n\n"))).otherwise("")
-    text = F.concat(F.lit("# "), F.coalesce(F.nullif("site_name", F.lit("")), F.lit("Untitled")), F.lit("\n\n"), quote, warn, F.coalesce(F.array_join(lines, "\n"), F.lit("")))
+    said = T.trim(F.regexp_replace("preamble", r"\r?\n", " ")) if "preamble" in sites.columns else F.lit("")
+    intro = F.when(F.length(said) > 0, F.concat(said, F.lit("\n\n"))).otherwise("")
+    text = F.concat(F.lit("# "), F.coalesce(F.nullif("site_name", F.lit("")), F.lit("Untitled")), F.lit("\n\n"), quote, intro, warn, F.coalesce(F.array_join(lines, "\n"), F.lit("")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("site", zero("n_primary"), zero("n_optional"), F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n")).alias("file"))
 

@@ -1,4 +1,4 @@
-"""The relational layer (K1-K8, K11, J1-J8, W1, W2, W5, W6, T-12, F14, F15): snapshots in, snapshots out.
+"""The relational layer (K1-K8, K11, J2, J8, W1, W2, W5, W6, W10, W11, A9, A12, D4, T-12, F14, F15): snapshots in, snapshots out.
 
 Times are parameters, never the clock, so reruns agree."""
 
@@ -7,6 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from ..functions.text import trim
+
 TERMINAL = ("complete", "partial", "failed")
 STUCK_MINUTES, STALE_DAYS, TTL_HOURS = 15, 5, 24
 
@@ -26,6 +29,46 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ())
     return both.select(*(value(c) for c in old.columns))
 
 
+def create_jobs(pages: DataFrame, jobs: DataFrame, new: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """K1: (pages, jobs) after jobs (id, url, source) are created: a page is monitored and keeps its id, or gets one from its
+    URL; a job is pending. URLs that are refused raise an error."""
+    u = urls.parsed(F.col("url"))
+    why = urls.rejection(u)
+    checked = new.withColumn("url", F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("Unsafe URL: "), why))).otherwise(F.col("url")).cast("string"))
+    fresh = checked.select("url").distinct().select("url", page_id(F.col("url")).alias("id"), F.lit(True).alias("monitored"))
+    after = upsert(pages, fresh, "url", keep=("id",))
+    added = checked.select(F.col("id"), F.col("url").alias("page_url"), F.lit("pending").alias("status"), "source", as_of.alias("created_at"), as_of.alias("updated_at"))
+    return after, jobs.unionByName(added, allowMissingColumns=True)
+
+
+def page_id(url: Column) -> Column:
+    """A page's id in the form of a UUID, made from its URL, so that reruns agree."""
+    h = F.sha2(url, 256)
+    cut = lambda a, n: F.substr(h, F.lit(a), F.lit(n))
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("4"), cut(14, 3)), F.concat(F.lit("8"), cut(18, 3)), cut(21, 12))
+
+
+def update_jobs(pages: DataFrame, jobs: DataFrame, updates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """K2: (pages, jobs) after updates (id, status, genre, site_name, error, result, crawled_pages), null for what is not given.
+    A result that isn't blank goes to the job's page, with the name and genre given or else the job's; a page without a new
+    list of crawled pages keeps its own. One update a job."""
+    fields = ("status", "genre", "site_name", "error")
+    named = updates.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in (*fields, "result", "crawled_pages")))
+    both = jobs.join(named, F.col("id") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    after = both.select(*(
+        F.coalesce(f"_{c}", c).alias(c) if c in fields else F.when(hit, as_of).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in jobs.columns
+    ))
+    good = both.where(hit & (F.length(trim(F.col("_result"))) > 0))
+    fresh = good.select(
+        F.col("page_url").alias("url"), page_id(F.col("page_url")).alias("id"), F.col("_result").alias("result"), F.coalesce("_site_name", "site_name").alias("site_name"), F.coalesce("_genre", "genre").alias("genre"),
+        F.col("_crawled_pages").alias("crawled_pages"), as_of.alias("last_checked_at"), as_of.alias("updated_at"), F.col("id").alias("_job"),
+    )
+    last = Window.partitionBy("url").orderBy(F.desc("_job"))
+    fresh = fresh.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_job")
+    return upsert(pages, fresh, "url", keep=("id",)), after
+
+
 def delete(df: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
     """K8."""
     return df.join(gone.select(*key).distinct(), list(key), "left_anti")
@@ -54,10 +97,14 @@ def sweep_stuck(jobs: DataFrame, as_of: Column) -> DataFrame:
     return out.withColumn("status", F.when(F.col("swept"), "failed").otherwise(F.col("status")))
 
 
+def stale(as_of: Column) -> Column:
+    """Whether a monitored page was not asked for in a while."""
+    return F.coalesce(F.col("monitored") & (F.col("last_requested_at") < as_of - F.expr(f"INTERVAL {STALE_DAYS} DAYS")), F.lit(False))
+
+
 def sweep_stale(pages: DataFrame, as_of: Column) -> DataFrame:
     """K5."""
-    hit = F.col("monitored") & (F.col("last_requested_at") < as_of - F.expr(f"INTERVAL {STALE_DAYS} DAYS"))
-    return pages.withColumn("monitored", F.col("monitored") & ~F.coalesce(hit, F.lit(False)))
+    return pages.withColumn("monitored", F.col("monitored") & ~stale(as_of))
 
 
 def touch(pages: DataFrame, requested: DataFrame, as_of: Column) -> DataFrame:
@@ -91,11 +138,44 @@ def history(requests: DataFrame, pages: DataFrame, jobs: DataFrame) -> DataFrame
     return requests.join(p, F.col("page_url") == F.col("_u"), "left").join(s, F.col("page_url") == F.col("_j"), "left").drop("_u", "_j")
 
 
-def export_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
-    """Adds ``file``: the name, then name-2, name-3."""
-    w = Window.partitionBy(name).orderBy(*order)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_rn", F.row_number().over(w)).withColumn("file", F.when(F.col("_rn") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_rn"), ext))).drop("_rn")
+def export_names(rows: DataFrame, name: str, *order: str, per: str | None = None) -> DataFrame:
+    """Adds ``file``: the name, then the first of name-2, name-3, .. that no row before has taken, in order; for each
+    value of ``per``.
+
+    A name can only meet names with the same stem less its numbers, so these are folded together, and only those of them
+    where a name repeats: the others keep theirs, wherever they stand.
+    """
+    stem, ext = F.regexp_extract(F.col(name), r"^(.*?)(\.txt)?\z", 1), F.regexp_extract(F.col(name), r"^(.*?)(\.txt)?\z", 2)
+    part = [per] if per else []
+    family = F.struct(F.regexp_replace(stem, r"(-\d+)+\z", "").alias("s"), ext.alias("e"))
+    out = rows.withColumns({"_family": family, "_k": F.row_number().over(Window.partitionBy(*part, name).orderBy(*order))})
+    clash = out.withColumn("_most", F.max("_k").over(Window.partitionBy(*part, "_family")))
+    plain = clash.where("_most = 1").withColumn("file", F.col(name))
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*part, *order).schema if f.name not in (name,)), f"{name} string", "file string"])
+    small = clash.where("_most > 1")
+    named = small.select("_family", *dict.fromkeys([*part, *order, name])).groupBy(*part, "_family").applyInPandas(_distinct_names(name, order), kinds)
+    keys = list(dict.fromkeys([*part, *order, name]))
+    both = small.join(named, keys)
+    return plain.select(*rows.columns, "file").unionByName(both.select(*rows.columns, "file"))
+
+
+def _distinct_names(name: str, order: tuple[str, ...]):
+    def run(frame):
+        frame = frame.sort_values(list(order), kind="stable")
+        used, out, at = set(), [], {}
+        for n in frame[name]:
+            got = n
+            if n in used:
+                stem, ext = (n[:-4], ".txt") if n.endswith(".txt") else (n, "")
+                k = at.get(n, 2)
+                while f"{stem}-{k}{ext}" in used:
+                    k += 1
+                at[n], got = k + 1, f"{stem}-{k}{ext}"
+            used.add(got)
+            out.append(got)
+        return frame.assign(file=out).drop(columns=["_family"])
+
+    return run
 
 
 def terminal_status(crawled: Column, failed: Column, entries: Column) -> Column:

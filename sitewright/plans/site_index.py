@@ -1,4 +1,4 @@
-"""Site indexes of many sites in one job: extract, score, select, label, assemble, validate (§3.2)."""
+"""Site indexes of many sites in one job: extract, score, select, label, review, assemble, validate (§3.2)."""
 
 from __future__ import annotations
 
@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
-from ..functions.genre import genre
+from ..functions.genre import counts, genre
 from ..operators import pages as P
+from ..operators import review
 from ..operators.url_sets import first_wins
-from ..sources import html
+from ..sources import html, robots
 from .staging import materialize
 
+NOTICE = (  # a fixed value
+    "Note: This site's robots.txt disallows all crawling (Disallow: /). Only the homepage could be indexed; "
+    "the full site structure may not be represented here."
+)
+
 
 def fetched(pages: DataFrame) -> DataFrame:
     """(site, pos, url, u, html) of (page_id, url, html): normal URLs, the first page of each, site is the host."""
@@ -21,28 +27,67 @@ def fetched(pages: DataFrame) -> DataFrame:
     return first_wins(df, "site", "url")
 
 
-def scored(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
-    """Extracted and scored pages. A site's language is its first page's, its genre is told from that page and all URLs."""
-    rows = materialize(fetched(pages), "fetched")
-    homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"), F.array_sort(F.collect_list(F.struct("pos", "url")))["url"].alias("all"))
-    homes = homes.select(F.col("site").alias("_site"), genre(F.col("home"), F.col("all"), F.col("site")).alias("genre"))
+def described(rows: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
+    """Extracted pages of staged rows (site, pos, url, u, html, ..) with genre, primary_lang and site_name of their site.
+
+    A site's language and name are its first page's; its genre is told from that page and all discovered URLs (site, pos,
+    url), of which only counts are gathered.
+    """
+    homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"))
+    n = (rows if discovered is None else discovered).groupBy(F.col("site").alias("_n")).agg(F.struct(*counts()).alias("n"))
+    homes = homes.join(n, F.col("site") == F.col("_n")).select(F.col("site").alias("_site"), genre(F.col("home"), F.col("n"), F.col("site")).alias("genre"))
     d = materialize(html.described(rows).drop("x"), "described")
     first = d.groupBy("site").agg(F.min_by(F.struct("lang", "site_name", "description"), "pos").alias("h"), F.min("pos").alias("home_pos"))
     first = first.select(F.col("site").alias("_s"), F.coalesce(urls.base_language(F.col("h.lang")), F.lit("en")).alias("primary_lang"), F.col("h.site_name").alias("_name"), F.col("h.description").alias("home_description"), "home_pos")
     d = d.join(homes, F.col("site") == F.col("_site")).join(first, F.col("site") == F.col("_s")).withColumn("site_name", F.col("_name")).drop("_site", "_s", "_name")
-    return P.score(P.without_tagline(d).drop("home_description", "home_pos"), enrichment)
+    return P.without_tagline(d).drop("home_description", "home_pos")
+
+
+def scored(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
+    return P.score(described(materialize(fetched(pages), "fetched")), enrichment)
 
 
 def build_index(pages: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
-    """(site, n_primary, n_optional, file, n_faults)."""
-    s = materialize(P.with_sections(scored(pages, enrichment)), "scored")
-    base = urls.parsed(F.concat(F.lit("https://"), F.col("site"), F.lit("/")))
-    chosen = P.select(s.withColumn("base", base))
-    placed = materialize(P.labels(materialize(P.ordered(P.grouped(chosen)), "ordered")), "placed")
+    """(site, n_primary, n_optional, file, n_faults) of a table (page_id, url, html)."""
+    return index_of(materialize(fetched(pages), "fetched"), enrichment)
+
+
+def index_of(
+    rows: DataFrame, enrichment: DataFrame | None = None, discovered: DataFrame | None = None, rules: DataFrame | None = None,
+    names: DataFrame | None = None, answers: DataFrame | None = None, bases: DataFrame | None = None,
+) -> DataFrame:
+    """The index of each site of staged rows (site, pos, url, u, html, and md_url if known).
+
+    ``rules`` (site, rules) give the notice of sites that forbid all; ``names`` is (site, site_name, preamble), ``answers``
+    (site, answer) a review of the draft, ``bases`` (site, base) the addresses that were submitted, else https and the host.
+    """
+    s = P.with_sections(P.score(described(rows, discovered), enrichment))
+    if bases is None:
+        s = s.withColumn("base", urls.parsed(F.concat(F.lit("https://"), F.col("site"), F.lit("/"))))
+    else:
+        s = s.join(bases.select(F.col("site").alias("_b"), urls.parsed(F.col("base")).alias("base")), F.col("site") == F.col("_b")).drop("_b")
+    s = materialize(s, "scored")
+    chosen, order, sections = P.select(s), None, None
+    if answers is not None:
+        chosen = materialize(chosen, "chosen")
+        edits = review.edits(answers, chosen)
+        chosen, order, sections = review.applied(chosen, edits), edits["order"], edits["sections"]
+    ordered = P.ordered(P.grouped(chosen, sections))
+    if order is not None:
+        ordered = review.reordered(ordered, order)
+    placed = materialize(P.labels(materialize(ordered, "ordered")), "placed")
     sites = placed.groupBy("site").agg(F.first("site_name").alias("site_name"))
     home = s.groupBy(F.col("site").alias("_h")).agg(F.min_by(F.struct("description", "description_provenance"), "pos").alias("h"))
     home = home.select("_h", T.home_summary(F.col("h.description"), F.col("h.description_provenance")).alias("summary"))
-    sites = sites.join(home, F.col("site") == F.col("_h"), "left").drop("_h").withColumn("notice", F.lit(None).cast("string"))
+    sites = sites.join(home, F.col("site") == F.col("_h"), "left").drop("_h")
+    if rules is None:
+        sites = sites.withColumn("notice", F.lit(None).cast("string"))
+    else:
+        r = rules.select(F.col("site").alias("_r"), F.when(robots.fully_disallowed(F.col("rules.disallowed")), NOTICE).alias("notice"))
+        sites = sites.join(r, F.col("site") == F.col("_r"), "left").drop("_r")
+    if names is not None:
+        n = names.select(F.col("site").alias("_n"), F.col("site_name").alias("_name"), "preamble")
+        sites = sites.join(n, F.col("site") == F.col("_n"), "left").withColumn("site_name", F.coalesce("_name", "site_name")).drop("_n", "_name")
     files = materialize(P.assemble(placed, sites), "files")
     faults = P.validate(files).groupBy(F.col("site").alias("_f")).agg(F.count("*").alias("n"))
     return files.join(faults, F.col("site") == F.col("_f"), "left").withColumn("n_faults", F.coalesce("n", F.lit(0)).cast("long")).drop("_f", "n")

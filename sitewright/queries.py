@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import flow_queries
 from .functions import text as T
 from .functions import urls
-from .functions.genre import genre
+from .functions.genre import counts, genre
 from .operators import monitor, pages, store, url_sets
 from .plans import site_index
 from .sources import html, robots
@@ -77,7 +78,9 @@ def locale_prefilter(spark, d):
 
 def page_shell_checks(spark, d):
     h = F.col("html")
-    return _t(spark, d, "pages").select("page_id", T.is_bot_challenge(h).alias("challenge"), T.is_spa_shell(h, F.lit("x")).alias("spa"))
+    p = _t(spark, d, "pages").withColumn("x", html.raw(h)["excerpt"])
+    shell = F.concat(F.lit('<div id="root"> </div>'), h)
+    return p.select("page_id", T.is_bot_challenge(h).alias("challenge"), T.is_spa_shell(h, F.col("x")).alias("spa"), T.is_spa_shell(shell, F.lit("x")).alias("empty_root"), T.is_spa_shell(F.lit("<b ng-app>"), F.substr("x", F.lit(1), F.lit(300))).alias("hint"))
 
 
 def html_signature(spark, d):
@@ -170,7 +173,7 @@ def delete_member(spark, d):
 
 
 def history_page(spark, d):
-    reqs = _t(spark, d, "orders").where("o_custkey % 10 = 1").select("o_orderkey", F.col("o_custkey").alias("page_url"), F.col("o_orderdate").alias("created_at"))
+    reqs = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page_url"), F.col("o_orderdate").alias("created_at"))
     pgs = _t(spark, d, "customer").select(F.col("c_custkey").alias("url"), "c_name")
     rows = store.history(reqs, pgs, _jobs(spark, d))
     return store.page_of(rows, 20, 20, F.desc("created_at"), F.desc("o_orderkey")).select("o_orderkey", "page_url", "c_name", "status", "has_more")
@@ -223,8 +226,13 @@ def token_bucket(spark, d):
 
 def site_genres(spark, d):
     rows = site_index.fetched(_t(spark, d, "pages"))
-    homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"), F.array_sort(F.collect_list(F.struct("pos", "url")))["url"].alias("all"))
-    return homes.select("site", genre(F.col("home"), F.col("all"), F.col("site")).alias("genre"))
+    homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"), F.struct(*counts()).alias("n"))
+    return homes.select("site", genre(F.col("home"), F.col("n"), F.col("site")).alias("genre"))
+
+
+def genre_counts(spark, d):
+    n = site_index.fetched(_t(spark, d, "pages")).groupBy("site").agg(*counts())
+    return n.select("site", "total", "docs", "api", "help", "blog", "desks", "docs_joined")
 
 
 def _enrichment(spark, d):
@@ -256,10 +264,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         url_normalize, url_parts, url_skip, url_labels, url_first_wins, fanout_drop, prefix_cap, total_cap, locale_prefilter, page_shell_checks,
         html_signature, html_lang_title, html_described, html_anchors, site_signature, drift_detect, neuter_text, first_sentence, sanitize_labels,
         section_order, label_collisions, latest_job, newest_status, sweep_stuck, active_jobs, sweep_stale, upsert_merge, delete_member, history_page,
-        history_export, monitor_batch, terminal_status, public_errors, ip_ranges, url_rejections, robots_rules, token_bucket, site_genres,
+        history_export, monitor_batch, terminal_status, public_errors, ip_ranges, url_rejections, robots_rules, token_bucket, site_genres, genre_counts,
         scored_sections, site_indexes, site_indexes_enriched, file_faults,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | flow_queries.queries()
 
 
 # ---- the same in SQL -------------------------------------------------------------------------------------------
@@ -321,7 +329,15 @@ def oracle_sql() -> dict[str, str]:
         "total_cap": _P + "SELECT pos, site, url FROM s QUALIFY row_number() OVER (PARTITION BY site ORDER BY len(segs), pos) <= 3",
         "locale_prefilter": _P + """, k AS (SELECT *, segs[1] = 'en' OR segs[1] NOT IN ('fr', 'de', 'es') AS keep FROM s)
             SELECT pos, site, url FROM k QUALIFY keep OR NOT bool_or(keep) OVER (PARTITION BY site)""",
-        "page_shell_checks": r"""SELECT page_id, contains(lower(html), 'cf_chl') AS challenge, length(html) > 5000 OR regexp_matches(html, '\{\{[^}]{1,60}\}\}') AS spa FROM pages""",
+        # Every fixture page has more than 300 characters of text or is shorter than a shell may be.
+        "page_shell_checks": r"""WITH x AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(script|style|form|footer|header|nav).*?</(script|style|form|footer|header|nav)>|<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+              y AS (SELECT *, length(replace(replace(t, '&amp;', '&'), '&quot;', '"')) AS n FROM x)
+            SELECT page_id, contains(lower(html), 'cf_chl') AS challenge, CASE WHEN n < 100 AND length(html) > 5000 THEN true WHEN n > 300 THEN false ELSE regexp_matches(html, '\{\{[^}]{1,60}\}\}') END AS spa, true AS empty_root, true AS hint FROM y""",
+        "genre_counts": _P + r""", f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY pos) = 1), z AS (SELECT *, pos = max(pos) OVER (PARTITION BY site) AS last FROM f)
+            SELECT site, count(*) AS total, count(*) FILTER (regexp_matches(lower(url), '/(docs?|api|reference|guide)(/|\?|$)')) AS docs, count(*) FILTER (regexp_matches(lower(url), '/(api|reference|endpoints?|sdk)(/|\?|$)')) AS api,
+              count(*) FILTER (regexp_matches(lower(url), '/(help|support|faq|kb)(/|\?|$)')) AS help, count(*) FILTER (regexp_matches(lower(url), '/(blog|posts?|articles?)(/|\?|$)')) AS blog,
+              count(*) FILTER (regexp_matches(lower(url), '/(politics|world|business|sports|opinion|technology|arts|style|entertainment|culture)(/|\?|$)')) AS desks,
+              bool_or(regexp_matches(lower(url), '/(docs?|api|reference|guide)(/|\?)')) OR bool_or(last AND regexp_matches(lower(url), '/(docs?|api|reference|guide)$')) AS docs_joined FROM z GROUP BY site""",
         "html_signature": f"SELECT page_id, sha256({clean_html}) AS sig FROM pages",
         "html_lang_title": """SELECT page_id, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang,
             replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&quot;', '"'), '&amp;', '&') AS title FROM pages""",
@@ -349,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "delete_member": """SELECT c_custkey, 'member' AS what FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)
             UNION ALL SELECT c_custkey, 'left' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
         "history_page": _JOBS + """, st AS (SELECT page_url, arg_max(status, (created_at, id)) AS status FROM jobs GROUP BY page_url),
-            h AS (SELECT o_orderkey, o_custkey AS page_url, c_name, status, o_orderdate FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN st ON st.page_url = o_custkey WHERE o_custkey % 10 = 1
+            h AS (SELECT o_orderkey, o_custkey AS page_url, c_name, status, o_orderdate FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN st ON st.page_url = o_custkey
                   ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21 OFFSET 20)
             SELECT o_orderkey, page_url, c_name, status, count(*) OVER () > 20 AS has_more FROM h QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) <= 20""",
         "history_export": """SELECT o_orderkey, c_name || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.txt' AS file
@@ -367,4 +383,25 @@ def oracle_sql() -> dict[str, str]:
             'Enter a full domain (e.g. example.com)', 'Enter a valid URL', 'Private or reserved IP ranges aren''t allowed', NULL][c_custkey % 9 + 1] AS reason FROM customer""",
         "robots_rules": _P + """, n AS (SELECT site, min(pos) AS n FROM p GROUP BY site)
             SELECT pos, NOT starts_with(path, '/' || ['en', 'fr', 'de/'][n % 3 + 1]) AS allowed, CAST(2000 AS BIGINT) AS delay_ms FROM s JOIN n USING (site)""",
-    }
+        "token_bucket": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+            b AS (SELECT user_id, event_id, t, i, 0.0::DOUBLE AS tokens, true AS allowed FROM o WHERE i = 1 UNION ALL
+              SELECT o.user_id, o.event_id, o.t, o.i, least(1.0, b.tokens + (o.t - b.t) / 86400) - CASE WHEN least(1.0, b.tokens + (o.t - b.t) / 86400) >= 1 THEN 1 ELSE 0 END, least(1.0, b.tokens + (o.t - b.t) / 86400) >= 1 FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1)
+            SELECT user_id, event_id, allowed FROM b""",
+        "html_anchors": flow_queries.LINKS + """SELECT f.site, f.url AS page_url, CAST(a.ord AS INTEGER) AS "at", a.h AS href, a.t AS text, regexp_extract(f.url, '^https?') || substr(l.url, 6) AS url FROM a JOIN f ON f.site = a.site AND f.pos = a.pos JOIN l ON l.site = a.site AND l.pos = a.pos AND l.ord = a.ord""",
+        "label_collisions": _P + r""", t AS (SELECT *, 'Page ' || pos % 3 AS title, list_filter(segs, lambda x: NOT regexp_matches(lower(x), '^index\.(html?|php|aspx?)$')) AS sg FROM s),
+              u AS (SELECT *, count(*) OVER (PARTITION BY site, title) AS n FROM t),
+              v AS (SELECT *, CASE WHEN n >= 3 THEN nullif(regexp_replace(sg[-1], '\.[^.]+$', ''), '') ELSE title END AS label FROM u),
+              w AS (SELECT *, count(*) OVER (PARTITION BY site, label) AS same FROM v),
+              d AS (SELECT site, label, min(i) AS i FROM (SELECT site, label, i, count(DISTINCT coalesce(sg[i], '')) AS kinds FROM w, unnest([1, 2, 3, 4]) AS x(i) WHERE same > 1 AND label IS NOT NULL GROUP BY ALL) WHERE kinds > 1 GROUP BY ALL)
+            SELECT w.site, pos, CASE WHEN coalesce(w.sg[d.i], '') <> '' THEN upper(substr(w.sg[d.i], 1, 1)) || substr(w.sg[d.i], 2) || ' ' || w.label ELSE w.label END AS label FROM w LEFT JOIN d ON d.site = w.site AND d.label = w.label""",
+        "scored_sections": flow_queries.DISTINCT_PAGES + r""", x AS (SELECT *, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang,
+                trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(script|style|form|footer|header|nav).*?</(script|style|form|footer|header|nav)>|<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t0 FROM f),
+              y AS (SELECT *, replace(replace(replace(t0, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM x),
+              k AS (SELECT *, trim(regexp_extract(t, '[^.!?
+]{20,}[.!?]', 0)) AS sentence FROM y),
+              e AS (SELECT *, CASE WHEN length(sentence) BETWEEN 21 AND 299 THEN sentence END AS d FROM k),
+              h AS (SELECT site, arg_min(lang, pos) AS main, arg_min(coalesce(d, ''), pos) AS d0, min(pos) AS first FROM e GROUP BY site),
+              o AS (SELECT e.*, main, CASE WHEN d IS NOT NULL AND NOT (pos <> first AND d0 <> '' AND d = d0) THEN 25 ELSE 0 END + 10 + CASE WHEN length(t) > 200 THEN 10 ELSE 0 END - CASE WHEN regexp_matches(url, '[?&]page=\d+') THEN 15 ELSE 0 END
+                - CASE WHEN lang <> main OR split_part(path, '/', 2) IN ('en', 'fr', 'de', 'es') AND split_part(path, '/', 2) <> main THEN 20 ELSE 0 END + floor((1 + pos % 10 - 5.5) * 5 + 0.5) AS score FROM e JOIN h USING (site))
+            SELECT site, pos, url, CAST(score AS DOUBLE) AS score, score >= 15 AND score < 40 AS is_optional, CASE WHEN score >= 40 THEN ['Guides', 'About', 'Resources'][pos % 3 + 1] WHEN score >= 15 THEN 'Optional' END AS section FROM o""",
+    } | flow_queries.oracle_sql()

@@ -1,4 +1,4 @@
-"""Page extraction (X1, X2, X4, X6-X9, S11): one parse of each page in an Arrow function, rules on its result native."""
+"""Page extraction (X1, X2, X4-X9, X12, U23): one parse of each page in an Arrow function, rules on its result native."""
 
 from __future__ import annotations
 
@@ -125,8 +125,24 @@ def _json_names(found: list[Node]) -> str | None:
     return None
 
 
-def extract(html: str | None) -> dict:
-    """Raw candidates of a page; T1: JSON-LD gives names, never descriptions."""
+def _json_description(found: list[Node]) -> str | None:
+    """The first description of more than 20 characters in JSON-LD."""
+    for node in found:
+        try:
+            data = json.loads(node.text())
+        except ValueError:
+            continue
+        graph = data.get("@graph") if isinstance(data, dict) else None
+        for item in graph if isinstance(graph, list) else [data]:
+            said = item.get("description") if isinstance(item, dict) else None
+            if isinstance(said, str) and len(said) > 20:
+                return said
+    return None
+
+
+def extract(html: str | None, json_ld: bool = False) -> dict:
+    """Raw candidates of a page. JSON-LD gives names; descriptions only if ``json_ld`` asks for them, since the service drops
+    scripts before it looks there (T1)."""
     root = tree(html or "")
     nodes = [n for n in root.walk()]
     by: dict[str, list[Node]] = {}
@@ -150,6 +166,7 @@ def extract(html: str | None) -> dict:
         "title_h1": _squeeze(h1.text(_hidden)) if h1 else None, "lang": next((n.attrs["lang"] for n in by.get("html", ()) if n.attrs.get("lang")), None),
         "canonical": links[0].attrs.get("href") if links else None, "desc_og": metas.get("og:description"), "desc_meta": metas.get("description"),
         "h2": h2.text().strip() if h2 else None, "headings": list(dict.fromkeys(h for h in heads if h)), "excerpt": excerpt,
+        "desc_ld": _json_description([n for n in by.get("script", ()) if n.attrs.get("type") == "application/ld+json"]) if json_ld else None,
         "name_og": metas.get("og:site_name"), "name_app": metas.get("application-name"),
         "name_ld": _json_names([n for n in by.get("script", ()) if n.attrs.get("type") == "application/ld+json"]),
         "anchors": [{"href": n.attrs["href"], "text": _squeeze(n.text())[:120]} for n in by.get("a", ()) if n.attrs.get("href")],
@@ -158,7 +175,7 @@ def extract(html: str | None) -> dict:
 
 RAW = (
     "title_og string, title_tag string, title_h1 string, lang string, canonical string, desc_og string, desc_meta string, h2 string, "
-    "headings array<string>, excerpt string, name_og string, name_app string, name_ld string, anchors array<struct<href:string,text:string>>"
+    "headings array<string>, excerpt string, desc_ld string, name_og string, name_app string, name_ld string, anchors array<struct<href:string,text:string>>"
 )
 
 
@@ -179,12 +196,18 @@ def described(pages: DataFrame) -> DataFrame:
     usable = lambda c: F.when(F.length(c) > 20, F.col(c))
     sentence = T.first_sentence(F.col("x.excerpt"))
     h2 = F.when(F.length("x.h2").between(11, 199), F.col("x.h2"))
-    df = df.withColumn("description", F.coalesce(usable("x.desc_og"), usable("x.desc_meta"), sentence, h2))
-    where = F.when(usable("x.desc_og").isNotNull(), "og").when(usable("x.desc_meta").isNotNull(), "meta")
-    where = where.when(sentence.isNotNull(), "excerpt").when(h2.isNotNull(), "heading").otherwise("none")
+    sources = {"json_ld": usable("x.desc_ld"), "og": usable("x.desc_og"), "meta": usable("x.desc_meta"), "excerpt": sentence, "heading": h2}
+    df = df.withColumn("description", F.coalesce(*sources.values()))
+    where = F.coalesce(*(F.when(c.isNotNull(), name) for name, c in sources.items()), F.lit("none"))
     df = df.withColumn("description_provenance", where).withColumn("lang", F.col("x.lang")).withColumn("headings", F.col("x.headings"))
-    name = F.coalesce(*(T.clean_site_name(F.col(c)) for c in ("x.name_og", "x.name_app", "x.name_ld", "x.title_tag", "x.title_h1")))
-    return df.withColumn("body_excerpt", F.col("x.excerpt")).withColumn("site_name", F.coalesce(name, T.site_name_from_host(F.col("u.host"))))
+    og = F.when(~T.looks_like_host(F.col("x.name_og"), F.col("u.host")), F.col("x.name_og"))
+    name = F.coalesce(T.clean_site_name(og), *(T.clean_site_name(F.col(c)) for c in ("x.name_app", "x.name_ld", "x.title_tag", "x.title_h1")))
+    df = df.withColumn("body_excerpt", F.col("x.excerpt")).withColumn("site_name", F.coalesce(name, T.site_name_from_host(F.col("u.host"))))
+    # A page is known by its canonical address, if it names one.
+    named = F.length("x.canonical") > 0
+    at = F.coalesce(urls.written(F.col("_c")), F.col("x.canonical"))
+    df = df.withColumn("_c", F.when(named, urls.parsed(F.col("x.canonical"), F.col("url")))).withColumn("url", F.when(named, at).otherwise(F.col("url")))
+    return df.withColumn("u", F.when(named, F.col("_c")).otherwise(F.col("u"))).drop("_c")
 
 
 def anchors(pages: DataFrame) -> DataFrame:

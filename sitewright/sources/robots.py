@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 AGENT = "llmstxtgenerator"
 PATHS = ("/sitemap.xml", "/sitemap_index.xml")
+#: A number at the start, whatever follows.
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", re.I)
 
 
 def rules(text: str | None, agent: str = AGENT) -> dict:
@@ -35,10 +38,9 @@ def rules(text: str | None, agent: str = AGENT) -> dict:
         elif key == "disallow" and value and current in deny:
             deny[current].append(value)
         elif key == "crawl-delay" and current in deny and not (current == "*" and named):
-            try:
-                delay[current] = float(value.split()[0])
-            except (ValueError, IndexError):
-                pass
+            number = _NUMBER.match(value)
+            if number:
+                delay[current] = float(number[0])
     who = agent if named else "*"
     return {"disallowed": deny[who], "sitemaps": list(maps), "crawl_delay": delay[who]}
 

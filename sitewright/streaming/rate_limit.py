@@ -1,4 +1,4 @@
-"""Token buckets (T-1, T-3, T-4) over request events: a fold for batches, keyed state for streams."""
+"""Token buckets (T-1-T-3) over request events: a fold for batches, keyed state for streams."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import ceil, floor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,24 +21,29 @@ LIMITS = {
 def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float, per_second: float) -> DataFrame:
     """(key, event, allowed, remaining, retry_s) of events folded in time order within each key; buckets start full.
 
-    The fold is a Catalyst aggregate over a key's sorted times. A key's events are one row; to bound it, fold a window
-    of time at once or use ``admit_stream``.
+    Rows are dealt by key and sorted, by Spark, which spills; the fold then reads them once and holds one bucket, so a key
+    with many events takes time but no memory.
     """
-    times = F.array_sort(F.collect_list(F.struct((F.unix_micros(at.cast("timestamp")) / 1e6).alias("t"), F.col(event).alias("e"))))
-    kind = "struct<e:bigint,allowed:boolean,remaining:bigint,retry_s:bigint>"
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gone = F.coalesce(F.greatest(x["t"] - acc["last"], F.lit(0.0)), F.lit(0.0))
-        have = F.least(F.lit(float(capacity)), acc["tokens"] + gone * per_second)
-        ok = have >= 1
-        left = F.when(ok, have - 1).otherwise(have)
-        retry = F.when(~ok, F.greatest(F.lit(1), F.ceil((1 - have) / per_second))).cast("long")
-        said = F.struct(x["e"].cast("long").alias("e"), ok.alias("allowed"), F.floor(left).cast("long").alias("remaining"), retry.alias("retry_s"))
-        return F.struct(left.alias("tokens"), x["t"].alias("last"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    folded = events.groupBy(key).agg(F.aggregate(times, start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.e").alias(event), "o.allowed", "o.remaining", "o.retry_s")
+    kind = events.schema[key].dataType.simpleString()
+
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, tokens, last, begun = None, 0.0, 0.0, False
+        for frame in frames:
+            allowed, remaining, retry = [], [], []
+            for k, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                if not begun or k != who:
+                    who, tokens, last, begun = k, float(capacity), t, True
+                tokens, last = min(float(capacity), tokens + max(0.0, t - last) * per_second), t
+                ok = tokens >= 1
+                retry.append(None if ok else max(1, ceil((1 - tokens) / per_second)))
+                tokens -= ok
+                allowed.append(ok)
+                remaining.append(floor(tokens))
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(2), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(retry, pa.int64())], [key, event, "allowed", "remaining", "retry_s"])
+
+    rows = events.select(F.col(key), (F.unix_micros(at.cast("timestamp")) / 1e6).alias("_t"), F.col(event).cast("long").alias(event))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_t", event)
+    return rows.mapInArrow(fold, f"`{key}` {kind}, `{event}` bigint, allowed boolean, remaining bigint, retry_s bigint")
 
 
 def admit_stream(events: DataFrame, capacity: float, per_second: float, idle_ms: int = 3_600_000) -> DataFrame:
