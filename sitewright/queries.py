@@ -307,6 +307,82 @@ def _neuter(x: str) -> str:
     return _trim(x)
 
 
+def _scored(weight: str) -> str:
+    """o: distinct pages with text, description, title, language and score."""
+    return flow_queries.DISTINCT_PAGES + rf"""
+, x AS (
+  SELECT *, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title_tag,
+         trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(script|style|form|footer|header|nav).*?</(script|style|form|footer|header|nav)>|<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t0 FROM f
+), y AS (
+  SELECT * REPLACE ({_plain('h1')} AS h1, {_plain('title_tag')} AS title_tag), {_plain('t0')} AS t FROM x
+), k AS (
+  SELECT *, trim(regexp_extract(t, '[^.!?\n]{{20,}}[.!?]', 0)) AS sentence FROM y
+), e AS (
+  SELECT *, CASE WHEN length(sentence) BETWEEN 21 AND 299 THEN sentence END AS d FROM k
+), h AS (
+  SELECT site, arg_min(lang, pos) AS main, arg_min(coalesce(d, ''), pos) AS d0, arg_min(title_tag, pos) AS name0, min(pos) AS first FROM e GROUP BY site
+), g AS (
+  SELECT e.* REPLACE (CASE WHEN pos <> first AND d0 <> '' AND d = d0 THEN NULL ELSE d END AS d), main, name0 FROM e JOIN h USING (site)
+), o AS (
+  SELECT *, CASE WHEN d IS NOT NULL THEN 25 ELSE 0 END + 10 + CASE WHEN length(t) > 200 THEN 10 ELSE 0 END - CASE WHEN regexp_matches(url, '[?&]page=\d+') THEN 15 ELSE 0 END
+    - CASE WHEN lang <> main OR split_part(path, '/', 2) IN ('en', 'fr', 'de', 'es') AND split_part(path, '/', 2) <> main THEN 20 ELSE 0 END + {weight} AS score FROM g
+)"""
+
+
+def _plain(x: str) -> str:
+    return f"""replace(replace(replace(replace({x}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+def _clean(x: str, marks: str = "|·•") -> str:
+    """Titles and names without what they end with."""
+    for tail in (rf"\s+[{marks}]\s+[^{marks}]{{1,60}}$", r"\s+-\s+\w[^-]{0,40}$", r"(?i)\s*(Home|Homepage|Welcome|Official Site|Official Website)\s*$"):
+        x = f"regexp_replace({x}, '{tail}', '')"
+    return f"trim({x})"
+
+
+def _index(weight: str, section: str) -> str:
+    """Whole index files: selection, sections, order, labels, text."""
+    priority = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pages.SECTION_PRIORITY.items())
+    name = _clean(r"trim(regexp_replace(name0, '\s+', ' ', 'g'))", "|·•—–")
+    host_name = r"split_part(regexp_replace(site, '^www\.', ''), '.', 1)"
+    return _scored(weight) + rf"""
+, n AS (
+  SELECT *, {name} AS n1, trim(regexp_split_to_array(n1, '\s*[|·•—–]\s*')[1]) AS n2, CASE WHEN (length(n1) > 40 OR regexp_matches(n1, '[|·•—–]')) AND length(n2) BETWEEN 2 AND 60 THEN n2 ELSE n1 END AS name1, coalesce(nullif({_clean('trim(title_tag)')}, ''), trim(title_tag)) AS title, upper(substr({host_name}, 1, 1)) || substr({host_name}, 2) AS name2,
+         CASE WHEN score >= 40 THEN {section} WHEN score >= 15 THEN 'Optional' END AS section FROM o
+), c AS (
+  SELECT *, CASE WHEN length(name1) BETWEEN 2 AND 60 THEN name1 ELSE name2 END AS name, CASE WHEN score >= 40 AND section <> 'Optional' THEN 'primary' WHEN score >= 15 AND score < 40 THEN 'optional' END AS kind FROM n
+  QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY score DESC, pos) = 1
+), sel AS (
+  SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY score DESC, pos) AS rank FROM c WHERE kind IS NOT NULL QUALIFY rank <= CASE kind WHEN 'primary' THEN 50 ELSE 10 END
+), z AS (
+  SELECT site, section, count(*) AS cnt, avg(score) AS av, min(rank) AS f FROM sel WHERE kind = 'primary' GROUP BY ALL
+), m AS (
+  SELECT *, sum(CASE WHEN cnt >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY site) AS multi FROM z
+), v AS (
+  SELECT site, section, row_number() OVER (PARTITION BY site ORDER BY av + ((CASE lower(section) {priority} ELSE 50 END) - 50) * 0.3 DESC, f) AS sr FROM m WHERE multi >= 2 OR cnt >= 2
+), w AS (
+  SELECT sel.*, sr, CASE WHEN sr IS NULL THEN 'Optional' ELSE sel.section END AS final,
+         row_number() OVER (PARTITION BY sel.site ORDER BY sr NULLS LAST, CASE WHEN sr IS NULL THEN -score END, CASE WHEN kind = 'primary' THEN 0 ELSE 1 END, rank) AS er
+  FROM sel LEFT JOIN v ON v.site = sel.site AND v.section = sel.section AND sel.kind = 'primary'
+), l0 AS (
+  SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS sg, count(*) OVER (PARTITION BY site, lower(title)) AS same_title, trim(h1) AS hd FROM w
+), l1 AS (
+  SELECT *, CASE WHEN title = '' THEN NULL WHEN lower(title) = lower(name) OR same_title >= 3 THEN
+         coalesce(CASE WHEN hd <> '' AND length(hd) <= 80 AND lower(hd) <> lower(name) AND NOT regexp_matches(hd, '(?i)cookie|privacy|consent|preference center|sign\s*in|log\s*in|menu') THEN hd END, regexp_replace(sg[-1], '\.[^.]+$', '')) ELSE title END AS label FROM l0
+), l2 AS (
+  SELECT *, count(*) OVER (PARTITION BY site, label) AS same FROM l1
+), ld AS (
+  SELECT site, label, min(i) AS i FROM (SELECT site, label, i, count(DISTINCT coalesce(sg[i], '')) AS kinds FROM l2, unnest([1, 2, 3, 4]) AS u(i) WHERE same > 1 GROUP BY ALL) WHERE kinds > 1 GROUP BY ALL
+), l3 AS (
+  SELECT l2.*, CASE WHEN coalesce(sg[ld.i], '') <> '' THEN upper(substr(sg[ld.i], 1, 1)) || substr(sg[ld.i], 2) || ' ' || l2.label ELSE l2.label END AS shown FROM l2 LEFT JOIN ld ON ld.site = l2.site AND ld.label = l2.label
+), ln AS (
+  SELECT *, '- [' || regexp_replace(trim(shown), '[\[\]]', '', 'g') || '](' || url || ')' || CASE WHEN d IS NOT NULL THEN ': ' || trim(d) ELSE '' END AS line, lag(final) OVER (PARTITION BY site ORDER BY er) AS before FROM l3
+)
+SELECT site, CAST(count(*) FILTER (final <> 'Optional') AS BIGINT) AS n_primary, CAST(count(*) FILTER (final = 'Optional') AS BIGINT) AS n_optional,
+       '# ' || any_value(name) || chr(10) || chr(10) || string_agg(CASE WHEN before IS NULL THEN '## ' || final || chr(10) || chr(10) WHEN before <> final THEN chr(10) || '## ' || final || chr(10) || chr(10) ELSE '' END || line, chr(10) ORDER BY er) || chr(10) AS file, CAST(0 AS BIGINT) AS n_faults
+FROM ln GROUP BY site"""
+
+
 def oracle_sql() -> dict[str, str]:
     priority = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pages.SECTION_PRIORITY.items())
     clean_html = "html"
@@ -394,14 +470,8 @@ def oracle_sql() -> dict[str, str]:
               w AS (SELECT *, count(*) OVER (PARTITION BY site, label) AS same FROM v),
               d AS (SELECT site, label, min(i) AS i FROM (SELECT site, label, i, count(DISTINCT coalesce(sg[i], '')) AS kinds FROM w, unnest([1, 2, 3, 4]) AS x(i) WHERE same > 1 AND label IS NOT NULL GROUP BY ALL) WHERE kinds > 1 GROUP BY ALL)
             SELECT w.site, pos, CASE WHEN coalesce(w.sg[d.i], '') <> '' THEN upper(substr(w.sg[d.i], 1, 1)) || substr(w.sg[d.i], 2) || ' ' || w.label ELSE w.label END AS label FROM w LEFT JOIN d ON d.site = w.site AND d.label = w.label""",
-        "scored_sections": flow_queries.DISTINCT_PAGES + r""", x AS (SELECT *, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang,
-                trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<(script|style|form|footer|header|nav).*?</(script|style|form|footer|header|nav)>|<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t0 FROM f),
-              y AS (SELECT *, replace(replace(replace(t0, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM x),
-              k AS (SELECT *, trim(regexp_extract(t, '[^.!?
-]{20,}[.!?]', 0)) AS sentence FROM y),
-              e AS (SELECT *, CASE WHEN length(sentence) BETWEEN 21 AND 299 THEN sentence END AS d FROM k),
-              h AS (SELECT site, arg_min(lang, pos) AS main, arg_min(coalesce(d, ''), pos) AS d0, min(pos) AS first FROM e GROUP BY site),
-              o AS (SELECT e.*, main, CASE WHEN d IS NOT NULL AND NOT (pos <> first AND d0 <> '' AND d = d0) THEN 25 ELSE 0 END + 10 + CASE WHEN length(t) > 200 THEN 10 ELSE 0 END - CASE WHEN regexp_matches(url, '[?&]page=\d+') THEN 15 ELSE 0 END
-                - CASE WHEN lang <> main OR split_part(path, '/', 2) IN ('en', 'fr', 'de', 'es') AND split_part(path, '/', 2) <> main THEN 20 ELSE 0 END + floor((1 + pos % 10 - 5.5) * 5 + 0.5) AS score FROM e JOIN h USING (site))
+        "scored_sections": _scored("floor((1 + pos % 10 - 5.5) * 5 + 0.5)") + """
             SELECT site, pos, url, CAST(score AS DOUBLE) AS score, score >= 15 AND score < 40 AS is_optional, CASE WHEN score >= 40 THEN ['Guides', 'About', 'Resources'][pos % 3 + 1] WHEN score >= 15 THEN 'Optional' END AS section FROM o""",
+        "site_indexes": _index("0", "'Resources'"),
+        "site_indexes_enriched": _index("floor((1 + pos % 10 - 5.5) * 5 + 0.5)", "['Guides', 'About', 'Resources'][pos % 3 + 1]"),
     } | flow_queries.oracle_sql()
