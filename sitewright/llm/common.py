@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,13 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and one
+    process is both; elsewhere there is no such folder to be made up."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sitewright-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -121,6 +126,20 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of rows, which both sides hold in full: a thousand instead of ten thousand, unless
+    the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def rows_of(frame: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, a few of them as Python values at a time."""
+    for k in range(0, frame.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in frame.slice(k, step).columns), strict=True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -169,6 +188,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
 
 
+def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) after more edges (a, b): those are joined whose components are, so that what is connected
+    already is not gone through again."""
+    name = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    named = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = stage(components(named), "components")
+    moved = comps.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    known = over.join(comps.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(known.select("node", "component"))
+
+
 def batches(rows: Iterable, size: Callable[[object], int], most: int) -> Iterator[list]:
     """Lists of rows of about ``most`` bytes; a longer row is alone."""
     out, held = [], 0
