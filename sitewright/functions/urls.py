@@ -162,6 +162,17 @@ def parsed(url: Column, base: Column | None = None) -> Column:
     return F.pandas_udf(_parse, URL)(url, base if base is not None else F.lit(None).cast("string"))
 
 
+def _parse_normal(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for urls, bases in parts:
+        first = (parse_url(u, b) for u, b in zip(urls, bases, strict=True))
+        yield pd.DataFrame([parse_url(u["normal"]) if u and u["normal"] else dict.fromkeys(_COLUMNS) for u in first], columns=_COLUMNS)
+
+
+def normalized(url: Column, base: Column | None = None) -> Column:
+    """The struct of a URL's normal form, in one pass; its fields are null if it has none."""
+    return F.pandas_udf(_parse_normal, URL)(url, base if base is not None else F.lit(None).cast("string"))
+
+
 def written(u: Column) -> Column:
     """A parsed URL put together again, parameters and a closing slash kept."""
     return F.concat(origin(u), u["path"], F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""))

@@ -95,9 +95,8 @@ def links(pages: DataFrame) -> DataFrame:
     """(site, page_pos, at, url, u, text, own): the links of (site, pos, base, html), each taken at the site's base URL."""
     a = pages.select("site", F.col("pos").alias("page_pos"), "base", F.posexplode(html.raw(F.col("html"))["anchors"]).alias("at", "a"))
     a = a.where(~F.col("a.href").rlike("^(mailto:|tel:)"))
-    a = a.withColumn("_u", urls.parsed(F.col("a.href"), F.col("base"))).where(F.col("_u.normal").isNotNull())
-    a = a.withColumns({"u": urls.parsed(F.col("_u.normal")), "_b": urls.parsed(F.col("base"))})
-    return a.select("site", "page_pos", "at", F.col("a.href").alias("href"), F.col("_u.normal").alias("url"), "u", F.col("a.text").alias("text"), urls.same_domain(F.col("u"), F.col("_b")).alias("own"))
+    a = a.withColumns({"u": urls.normalized(F.col("a.href"), F.col("base")), "_b": urls.parsed(F.col("base"))}).where(F.col("u.normal").isNotNull())
+    return a.select("site", "page_pos", "at", F.col("a.href").alias("href"), F.col("u.normal").alias("url"), "u", F.col("a.text").alias("text"), urls.same_domain(F.col("u"), F.col("_b")).alias("own"))
 
 
 def internal(found: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def crawl(sites: DataFrame, fetches: DataFrame, sitemaps: DataFrame, rendered: D
     gate = materialize(D.gated(fetches), "gated")
     rules = materialize(D.site_rules(starts, fetches), "rules")
     deny = rules.select(F.col("site").alias("_r"), F.col("rules.disallowed").alias("_deny"))
-    listed = sitemaps.withColumn("_u", urls.parsed(F.col("url"))).where(F.col("_u.normal").isNotNull())
-    listed = listed.select("site", "pos", F.col("_u.normal").alias("url"), urls.parsed(F.col("_u.normal")).alias("u"))
+    listed = sitemaps.withColumn("u", urls.normalized(F.col("url"))).where(F.col("u.normal").isNotNull())
+    listed = listed.select("site", "pos", F.col("u.normal").alias("url"), "u")
     listed = listed.join(starts.select("site", "base", "base_u"), "site").join(deny, F.col("site") == F.col("_r"), "left")
     fine = urls.same_domain(F.col("u"), F.col("base_u")) & ~urls.skipped(F.col("u")) & robots.allowed(F.col("u"), F.coalesce("_deny", F.array().cast("array<string>"))) & (F.col("url") != F.col("base"))
     seeds = materialize(S.first_wins(listed.where(fine), "site", "url").select("site", "pos", "url", "u"), "seeds")

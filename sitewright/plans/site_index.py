@@ -22,9 +22,8 @@ NOTICE = (  # a fixed value
 
 def fetched(pages: DataFrame) -> DataFrame:
     """(site, pos, url, u, html) of (page_id, url, html): normal URLs, the first page of each, site is the host."""
-    df = pages.select(F.col("page_id").alias("pos"), urls.parsed(F.col("url")).alias("u"), "html").where(F.col("u.normal").isNotNull())
-    df = df.select(F.col("u.host").alias("site"), "pos", F.col("u.normal").alias("url"), urls.parsed(F.col("u.normal")).alias("u"), "html")
-    return first_wins(df, "site", "url")
+    df = pages.select(F.col("page_id").alias("pos"), urls.normalized(F.col("url")).alias("u"), "html").where(F.col("u.normal").isNotNull())
+    return first_wins(df.select(F.col("u.host").alias("site"), "pos", F.col("u.normal").alias("url"), "u", "html"), "site", "url")
 
 
 def described(rows: DataFrame, discovered: DataFrame | None = None) -> DataFrame:

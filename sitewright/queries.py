@@ -25,8 +25,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, pos, url, u), repeats included."""
-    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), urls.parsed(F.col("url"))["normal"].alias("url"))
-    return p.select(F.regexp_extract("url", "^https?://([^/:?]+)", 1).alias("site"), "pos", "url", urls.parsed(F.col("url")).alias("u"))
+    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), urls.normalized(F.col("url")).alias("u"))
+    return p.select(F.col("u.host").alias("site"), "pos", F.col("u.normal").alias("url"), "u")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +374,7 @@ def _index(weight: str, section: str) -> str:
 ), ld AS (
   SELECT site, label, min(i) AS i FROM (SELECT site, label, i, count(DISTINCT coalesce(sg[i], '')) AS kinds FROM l2, unnest([1, 2, 3, 4]) AS u(i) WHERE same > 1 GROUP BY ALL) WHERE kinds > 1 GROUP BY ALL
 ), l3 AS (
-  SELECT l2.*, CASE WHEN coalesce(sg[ld.i], '') <> '' THEN upper(substr(sg[ld.i], 1, 1)) || substr(sg[ld.i], 2) || ' ' || l2.label ELSE l2.label END AS shown FROM l2 LEFT JOIN ld ON ld.site = l2.site AND ld.label = l2.label
+  SELECT l2.*, CASE WHEN coalesce(sg[ld.i], '') <> '' THEN upper(substr(sg[ld.i], 1, 1)) || replace(substr(sg[ld.i], 2), '.html', '.Html') || ' ' || l2.label ELSE l2.label END AS shown FROM l2 LEFT JOIN ld ON ld.site = l2.site AND ld.label = l2.label
 ), ln AS (
   SELECT *, '- [' || regexp_replace(trim(shown), '[\[\]]', '', 'g') || '](' || url || ')' || CASE WHEN d IS NOT NULL THEN ': ' || trim(d) ELSE '' END AS line, lag(final) OVER (PARTITION BY site ORDER BY er) AS before FROM l3
 )
@@ -469,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
               v AS (SELECT *, CASE WHEN n >= 3 THEN nullif(regexp_replace(sg[-1], '\.[^.]+$', ''), '') ELSE title END AS label FROM u),
               w AS (SELECT *, count(*) OVER (PARTITION BY site, label) AS same FROM v),
               d AS (SELECT site, label, min(i) AS i FROM (SELECT site, label, i, count(DISTINCT coalesce(sg[i], '')) AS kinds FROM w, unnest([1, 2, 3, 4]) AS x(i) WHERE same > 1 AND label IS NOT NULL GROUP BY ALL) WHERE kinds > 1 GROUP BY ALL)
-            SELECT w.site, pos, CASE WHEN coalesce(w.sg[d.i], '') <> '' THEN upper(substr(w.sg[d.i], 1, 1)) || substr(w.sg[d.i], 2) || ' ' || w.label ELSE w.label END AS label FROM w LEFT JOIN d ON d.site = w.site AND d.label = w.label""",
+            SELECT w.site, pos, CASE WHEN coalesce(w.sg[d.i], '') <> '' THEN upper(substr(w.sg[d.i], 1, 1)) || replace(substr(w.sg[d.i], 2), '.html', '.Html') || ' ' || w.label ELSE w.label END AS label FROM w LEFT JOIN d ON d.site = w.site AND d.label = w.label""",
         "scored_sections": _scored("floor((1 + pos % 10 - 5.5) * 5 + 0.5)") + """
             SELECT site, pos, url, CAST(score AS DOUBLE) AS score, score >= 15 AND score < 40 AS is_optional, CASE WHEN score >= 40 THEN ['Guides', 'About', 'Resources'][pos % 3 + 1] WHEN score >= 15 THEN 'Optional' END AS section FROM o""",
         "site_indexes": _index("0", "'Resources'"),

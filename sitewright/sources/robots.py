@@ -50,8 +50,11 @@ def _parse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([rules(x) for x in s], columns=["disallowed", "sitemaps", "crawl_delay"])
 
 
+RULES = "disallowed array<string>, sitemaps array<string>, crawl_delay double"
+
+
 def parsed(text: Column) -> Column:
-    return F.pandas_udf(_parse, "disallowed array<string>, sitemaps array<string>, crawl_delay double")(text)
+    return F.pandas_udf(_parse, RULES)(text)
 
 
 def allowed(u: Column, disallowed: Column) -> Column:

@@ -154,6 +154,25 @@ def test_x5_x10_u23(spark):
     assert (r.url, r.u.path, r.site_name) == ("https://a.com/c?x=1", "/c", "Acme")
 
 
+def test_sql_functions(spark):
+    from sitewright import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT url_normal('HTTP://A.com/x/?utm_source=1', NULL).normal AS u, html_parts('<title>T</title>').title_h1 AS h, robots_rules('User-agent: *\\nDisallow: /a').disallowed AS d").first()
+    assert (r.u, r.h, r.d) == ("http://a.com/x", None, ["/a"])
+
+
+def test_t10_updates_may_be_applied_twice(spark):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    j = spark.createDataFrame([(1, "https://a.b/", "crawling", None, None, None)], "id long, page_url string, status string, genre string, site_name string, error string").withColumns({"created_at": at, "updated_at": at})
+    p = spark.createDataFrame([], "url string, id string, result string, site_name string, genre string, crawled_pages string, last_checked_at timestamp_ntz, updated_at timestamp_ntz")
+    up = spark.createDataFrame([(1, "complete", "blog", "A", None, "# A", "[]")], "id long, status string, genre string, site_name string, error string, result string, crawled_pages string")
+    once = store.update_jobs(p, j, up, at)
+    twice = store.update_jobs(*once, up, at)
+    assert [sorted(map(tuple, df.collect())) for df in once] == [sorted(map(tuple, df.collect())) for df in twice]
+    assert once[0].first().result == "# A" and once[1].first().status == "complete"
+
+
 def _response(url, body, kind="text/html", status=200):
     return (url, status, kind, None, body.encode(), None, None)
 
