@@ -11,6 +11,7 @@ from .functions import text as T
 from .functions import urls
 from .operators import discovery, enrich, monitor, pages, requests, review, store, url_sets, views
 from .plans import crawl, site_index
+from .sources import robots
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -67,6 +68,20 @@ def redirect_chains(spark, d):
     return out.select("url", "final", F.col("hops").cast("long").alias("hops"), "error")
 
 
+def sitemap_listing(spark, d):
+    """A site's index names two maps; of every third site the second one is no XML."""
+    p = _fetched(spark, d)
+    b = _bases(p)
+    name = lambda k: F.concat(F.lit("https://"), F.col("site"), F.lit(f"/{k}.xml"))
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("#x</loc></url>"))
+    maps = p.groupBy("site", (F.col("pos") % 2).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e"))))["e"], "\n").alias("urls"), F.min("pos").alias("m"))
+    maps = maps.join(b.select("site", "n"), "site")
+    leafs = maps.select(F.concat(F.lit("https://"), F.col("site"), F.lit("/"), F.col("k"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>")).alias("body"), F.when((F.col("k") == 1) & (F.col("n") % 3 == 0), "application/json").otherwise("text/xml").alias("content_type"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), name(0), F.lit("</loc></sitemap><sitemap><loc> "), name(1), F.lit("</loc></sitemap></sitemapindex>"))
+    tops = b.select(name("sitemap").alias("url"), index.alias("body"), F.lit("application/xml").alias("content_type"))
+    return robots.sitemap_urls(b.select("site", name("sitemap").alias("url")), tops.unionByName(leafs)).select("site", F.col("pos").cast("long").alias("pos"), "url")
+
+
 def markdown_probe(spark, d):
     p = _fetched(spark, d)
     k = F.col("pos") % 4
@@ -409,7 +424,7 @@ def updated_jobs(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        fetch_gate, redirect_chains, markdown_probe, home_choice, internal_links, external_links, nav_merge, rank_picks, crawl_frontier, crawl_progress,
+        fetch_gate, redirect_chains, sitemap_listing, markdown_probe, home_choice, internal_links, external_links, nav_merge, rank_picks, crawl_frontier, crawl_progress,
         crawl_slots, crawled_indexes, external_fill, enrichment_rows, site_analysis, review_edits, review_orders, url_aliases, review_drops, entry_order, ssrf_checks,
         canonical_urls, request_fields, submission_decisions, two_buckets, page_views, job_views, job_answers, export_files, status_views,
         refreshed_rows, faulty_moves, debounced_progress, monitor_checks, monitor_summary, monitor_pages, created_jobs, updated_jobs,
@@ -513,6 +528,7 @@ def oracle_sql() -> dict[str, str]:
         "redirect_chains": r"""WITH c AS (SELECT c_custkey AS k, 'https://s.example.com/' AS s, (10 - c_custkey % 10) % 10 AS d, CASE WHEN c_custkey % 100 <= 5 AND c_custkey % 100 > 0 THEN 5 - c_custkey % 100 END AS stop FROM customer)
             SELECT s || k AS url, CASE WHEN stop IS NOT NULL THEN s || (k + stop) WHEN d <= 5 AND k + d <= (SELECT max(c_custkey) FROM customer) THEN s || (k + d) WHEN d <= 5 THEN s || (k + d) END AS final,
               CAST(coalesce(stop, least(d, 6)) AS BIGINT) AS hops, CASE WHEN stop IS NOT NULL THEN 'Private or reserved IP ranges aren''t allowed' WHEN d > 5 THEN 'Too many redirects (>5): ' || s || k END AS error FROM c""",
+        "sitemap_listing": _F + """SELECT f.site, row_number() OVER (PARTITION BY f.site ORDER BY pos % 2, pos) AS pos, url FROM f JOIN b USING (site) WHERE NOT (pos % 2 = 1 AND n % 3 = 0)""",
         "markdown_probe": _F + "SELECT pos, CASE WHEN pos % 4 IN (0, 1) THEN regexp_extract(url, '^https?://[^/]+', 0) || path || '.md' END AS md_url FROM f",
         "home_choice": _F + r""", h AS (SELECT site, n, n % 3 = 0 OR n % 2 = 0 AS needs, n % 5 <> 0 AS has FROM b)
             SELECT site, CASE WHEN needs THEN 'browser' ELSE 'http' END AS mode, CASE WHEN needs AND has THEN true WHEN n % 3 = 0 THEN NULL ELSE false END AS rendered,

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 # Fixed values.
 AGENT = "llmstxtgenerator"
 PATHS = ("/sitemap.xml", "/sitemap_index.xml")
@@ -81,16 +83,24 @@ def locations(xml: Column) -> Column:
 
 
 def sitemap_urls(starts: DataFrame, fetches: DataFrame, most: int = 500, subs: int = 5) -> DataFrame:
-    """(site, top, loc, pos) from (site, url) and (url, body): indexes are followed twice, five entries each; 500 a start."""
-    body = fetches.where(F.col("body").isNotNull()).select(F.col("url").alias("_u"), F.col("body"))
+    """(site, top, url, u, pos) from (site, url) and (url, body, content_type): normal addresses in document order.
+
+    Indexes are followed twice, five entries each; 500 addresses a start. Responses that are neither XML nor text, where that
+    is known, and addresses that cannot be normalised count for nothing.
+    """
+    kind = F.col("content_type") if "content_type" in fetches.columns else F.lit("text/xml")
+    good = F.col("body").isNotNull() & F.coalesce(kind.contains("xml") | kind.contains("text"), F.lit(False))
+    body = fetches.where(good).select(F.col("url").alias("_u"), "body")
     at = starts.select("site", F.col("url").alias("top"), "url", F.lit("").alias("order"))
     found = None
-    for level in range(3):
+    for _ in range(3):
         got = at.join(body, F.col("url") == F.col("_u")).withColumn("is_index", F.col("body").rlike("(?i)<sitemapindex"))
         locs = got.select("site", "top", "order", "is_index", F.posexplode(locations(F.col("body"))).alias("k", "loc"))
         locs = locs.withColumn("order", F.concat("order", F.format_string("%09d.", "k")))
         leaf = locs.where(~F.col("is_index")).select("site", "top", "loc", "order")
         found = leaf if found is None else found.unionByName(leaf)
         at = locs.where(F.col("is_index") & (F.col("k") < subs)).select("site", "top", F.col("loc").alias("url"), "order")
+    found = found.withColumn("u", urls.normalized(F.col("loc"))).where(F.col("u.normal").isNotNull())
     w = Window.partitionBy("site", "top").orderBy("order")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most).drop("order")
+    found = found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    return found.select("site", "top", F.col("u.normal").alias("url"), "u", "pos")

@@ -81,8 +81,10 @@ def test_s2_robots():
 
 def test_s5_sitemaps(spark):
     starts = spark.createDataFrame([("a", "u0")], "site string, url string")
-    fetches = spark.createDataFrame([("u0", "<sitemapindex><sitemap><loc>u1</loc></sitemap><sitemap><loc>u2</loc></sitemap></sitemapindex>"), ("u1", "<urlset><url><loc> p1 </loc></url><url><loc>p2&amp;x</loc></url>"), ("u2", "broken <loc>p3</loc> <")], "url string, body string")
-    assert [r.loc for r in robots.sitemap_urls(starts, fetches).orderBy("pos").collect()] == ["p1", "p2&x", "p3"]
+    fetches = spark.createDataFrame([("u0", "<sitemapindex><sitemap><loc>u1</loc></sitemap><sitemap><loc>u2</loc></sitemap></sitemapindex>"), ("u1", "<urlset><url><loc> http://a/p1/ </loc></url><url><loc>http://a/?q=2&amp;x</loc></url><url><loc>::</loc></url>"), ("u2", "broken <loc>http://a/p3</loc> <")], "url string, body string")
+    assert [r.url for r in robots.sitemap_urls(starts, fetches).orderBy("pos").collect()] == ["http://a/p1", "http://a/?q=2&x", "http://a/p3"]
+    kinds = fetches.withColumn("content_type", F.when(F.col("url") == "u2", "image/png").otherwise("application/xml"))
+    assert robots.sitemap_urls(starts, kinds).count() == 2
 
 
 def test_x1_html():
