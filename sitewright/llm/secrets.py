@@ -1,22 +1,26 @@
 """Secret scans over a ledger of content-addressed blobs (native).
 
-Every text version is a blob named by its SHA-256. A ledger remembers which (blob, rule version) pairs were scanned;
-``scan`` reads only blobs with an unseen pair, evaluates only the unseen rules on them, and ``join_back`` gives every
-path (document) the findings of its blob, so a text that a thousand documents share is scanned once.
+Every text version, of whatever path and time, is a blob named by its SHA-256. The ledger is a Parquet folder that is only
+added to: a row (blob, rules, found) says which rules, by kind and version, were evaluated on a blob, and what they found.
+``scan`` reads the ledger and evaluates only unseen pairs of blob and rule version, each blob once, however many paths
+have it; ``update`` adds that to the ledger; ``join_back`` gives every path the findings that the ledger has for its blob,
+so new paths of old blobs have theirs without a scan. Kinds are numbered by their place in RULES and never anew.
 
-Defined results: a null text is the empty blob; empty texts have no findings; repeated rows give repeated rows; a null
+Defined results: a null text is the empty blob; empty texts have no findings; repeated rows are scanned each and give repeated rows; a null
 ``doc_id`` stays null; other columns are ignored; an empty table gives empty results. Offsets are code points, ends
 are exclusive.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, prefix_sums, stage, text_of
+from . import common
+from .common import let, prefix_sums, shared_dir, stage, text_of
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,12 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-SPAN = "struct<start:bigint,kind:int,end:bigint,sha256:string>"
+SPAN = "struct<start:bigint,kind:int,end:bigint,version:int,sha256:string>"
+LEDGER = f"blob string, rules array<string>, found array<{SPAN}>"
+#: A list of so many blobs to scan goes to the texts; a longer one meets them in a shuffle.
+BROADCAST_BLOBS = 200_000
+#: Places in which the paths of one blob meet its findings.
+COPIES = 16
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -72,13 +81,13 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
                 F.arrays_zip(matches.alias("m"), held.alias("h"), ends.alias("e")),
                 lambda x: F.struct(
                     (x["e"] - F.length(x["m"])).alias("start"), F.lit(order).alias("kind"), x["e"].alias("end"),
-                    F.length(x["h"]).alias("held"), F.sha2(x["m"], 256).alias("sha256"),
+                    F.length(x["h"]).alias("held"), F.lit(rule.version).alias("version"), F.sha2(x["m"], 256).alias("sha256"),
                 ),
             )
 
         ends = let(steps, lambda s: F.zip_with(prefix_sums(s), s, lambda a, b: a + b))
         kept = F.filter(let(ends, located), lambda x: x["held"] >= rule.least)
-        return F.transform(kept, lambda x: F.struct(x["start"], x["kind"], x["end"], x["sha256"]))
+        return F.transform(kept, lambda x: F.struct(x["start"], x["kind"], x["end"], x["version"], x["sha256"]))
 
     none = F.array().cast(f"array<{SPAN}>")
     found = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), of).cast(f"array<{SPAN}>")
@@ -90,46 +99,66 @@ def paths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(text_of(), 256).alias("blob"))
 
 
+def _number(rule: Rule) -> int:
+    return [r.kind for r in RULES].index(rule.kind)
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, rules, found): for every blob with an unseen pair, the rules evaluated now and their findings.
 
-    ``ledger`` has (blob, rule) for pairs already scanned. Of each blob one document is read; which one is decided on
-    ids and addresses, so texts are moved once and copies not at all.
+    Of each blob one document is read; which one is decided on ids and addresses. If few blobs are to be scanned, their list
+    goes to the texts and no text is moved; else texts are dealt by id and address, so copies of one text go apart.
     """
     ids = [r.id for r in rules]
     all_rules = F.array(*map(F.lit, ids))
-    named = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256))
-    todo = named.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
+    todo = docs.select("doc_id", F.sha2(text_of(), 256).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("first_id"))
     if ledger is None:
         todo = todo.withColumn("todo", all_rules)
     else:
-        seen = ledger.where(F.col("rule").isin(ids)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(ids)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except(all_rules, F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0)
-    todo = todo.select(F.col("blob").alias("todo_blob"), "first_id", "todo")
+    todo = todo.select(F.xxhash64("blob", "first_id").alias("k"), F.col("blob").alias("todo_blob"), "first_id", "todo")
+    if ledger is not None:
+        todo = stage(todo, "unseen-blobs")
+        if todo.count() <= BROADCAST_BLOBS:
+            todo = F.broadcast(todo)
+    named = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256)).withColumn("k", F.xxhash64("blob", "doc_id"))
     same = (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     text = F.col("text")
     none = F.array().cast(f"array<{SPAN}>")
-    found = F.concat(*(F.when(F.array_contains("todo", r.id), spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)))
-    return named.join(todo, same).select("blob", F.col("todo").alias("rules"), F.array_sort(found).alias("found"))
+    found = F.concat(*(F.when(F.array_contains("todo", r.id), spans(text, r, _number(r))).otherwise(none) for r in rules))
+    return named.join(todo, "k").where(same).select("blob", F.col("todo").alias("rules"), F.array_sort(found).alias("found"))
+
+
+def open_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger of a folder, or None before the first update."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(LEDGER).parquet(folder) if there else None
 
 
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """(blob, rule) pairs that a scan has added to the ledger. A blob that repeats under one doc_id adds a pair once."""
-    return scanned.select("blob", F.explode("rules").alias("rule")).distinct()
+def update(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what a ledger has not seen, add it, and return the ledger."""
+    spark = docs.sparkSession
+    scan(docs, open_ledger(spark, folder), rules).write.mode("append").option("compression", "zstd").parquet(folder)
+    return open_ledger(spark, folder)
 
 
-def join_back(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(doc_id, found): every path with the findings of its blob. Only blobs with findings are joined, and Spark may
-    split the paths of a blob that many documents share."""
-    hits = scanned.where(F.size("found") > 0).groupBy("blob").agg(F.flatten(F.collect_set("found")).alias("found"))
-    hits = hits.select("blob", F.array_sort(F.array_distinct("found")).alias("found"))
+def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, found): every path with the findings of its blob by these rules. Only blobs with findings are joined; paths
+    of one blob are dealt to COPIES places."""
+    wanted = lambda x: F.concat_ws("@", x["kind"].cast("string"), x["version"].cast("string")).isin([f"{_number(r)}@{r.version}" for r in rules])
+    hits = ledger.select("blob", F.filter("found", wanted).alias("found")).where(F.size("found") > 0)
+    hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    hits = hits.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     none = F.array().cast(f"array<{SPAN}>")
-    return paths(docs).join(hits, "blob", "left").select("doc_id", F.coalesce("found", none).alias("found"))
+    at = paths(docs).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)).cast("int"))
+    return at.join(hits, ["blob", "s"], "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 def joined(found: Column, rules: tuple[Rule, ...]) -> Column:
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    kinds = F.array(*(F.lit(r.kind) for r in RULES))
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
@@ -137,7 +166,9 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     found = F.col("found")
     base = F.filter(found, lambda x: x["kind"] < len(BASE_RULES))
     count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
-    return join_back(docs, stage(scan(docs, None, rules), "secret-scan")).select(
+    folder = f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
+    common._STAGED.append((docs.sparkSession, folder))
+    return join_back(docs, update(docs, folder, rules), rules).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(base, rules), 256).alias("base_sha256"), joined(found, rules).alias("spans"),
     )
