@@ -1,7 +1,8 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
 ``parse`` reads any MPEG 1, 2 or 2.5 stream of layers I to III: it skips ID3 tags, finds frame headers again after
-foreign bytes, checks CRCs, reads Xing/Info and VBRI tables and gives exact durations and a byte offset per frame.
+foreign bytes, checks the CRCs of layers I and III (those of layer II cover what its allocation says and aren't checked),
+reads Xing/Info and VBRI tables and gives exact durations, at whatever rates, and a byte offset per frame.
 ``pack`` stores a payload in the ancillary bytes of silent layer III frames: a format's own unit, read back unchanged.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal files; bytes that are no
@@ -16,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +71,13 @@ class Header:
     mono: bool
     size: int
     samples: int
+    #: Subbands that both channels of joint stereo have of their own (layer I).
+    bound: int = 32
+
+    @property
+    def covered(self) -> int:
+        """Bytes behind the checksum that it covers: side information, or the four bits of each subband's allocation."""
+        return self.side if self.layer == 3 else (32 if self.mono else self.bound + 32) // 2
 
     @property
     def side(self) -> int:
@@ -81,11 +90,12 @@ class Header:
 
 
 _headers: dict[int, Header | None] = {}
+#: Headers differ in the bits of the rate, the mode and its extension; others are masked.
 
 
 def header(word: int) -> Header | None:
     """The header that 32 bits make, if they do."""
-    key = word & 0xFFFFFFC0
+    key = word & 0xFFFFFFF0
     if key not in _headers:
         _headers[key] = _header(word)
     return _headers[key]
@@ -101,7 +111,8 @@ def _header(word: int) -> Header | None:
     pad = word >> 9 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
-    return Header(version, layer, not word >> 16 & 1, kbps, hz, word >> 6 & 3 == 3, size, samples)
+    bound = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32
+    return Header(version, layer, not word >> 16 & 1, kbps, hz, word >> 6 & 3 == 3, size, samples, bound)
 
 
 @dataclass
@@ -118,10 +129,12 @@ class Stream:
     table_frames: int = 0
     table_bytes: int = 0
     seek: tuple[int, ...] = ()
+    #: Samples at each rate.
+    at_rate: dict[int, int] = field(default_factory=dict)
 
     @property
     def duration_us(self) -> int:
-        return self.samples * 1_000_000 // self.hz if self.hz else 0
+        return int(sum(Fraction(n * 1_000_000, hz) for hz, n in self.at_rate.items()))
 
 
 def _id3v2(data: bytes, out: Stream) -> int:
@@ -185,13 +198,14 @@ def parse(data: bytes) -> Stream:
             at = found if found > 0 else end
             continue
         if h.protected:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-            if h.layer == 3:
+            if h.layer != 2:
+                covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]
                 out.checked += 1
                 out.broken += crc16(covered) != int.from_bytes(data[at + 4 : at + 6])
         if not (first and h.layer == 3 and _table(data, at, h, out)):
             out.hz = out.hz or h.hz
             out.samples += h.samples
+            out.at_rate[h.hz] = out.at_rate.get(h.hz, 0) + h.samples
             out.offsets.append(at)
             out.sizes.append(h.size)
         first = False
@@ -285,6 +299,8 @@ def features(media: DataFrame) -> DataFrame:
 
     def one(doc_id: int, n_bytes: int, data: bytes) -> tuple:
         payload, s = unpack(data)
+        if s.broken:
+            raise ValueError("a stored frame differs from its checksum")
         said = f"hz={s.hz};samples={s.samples};frames={len(s.offsets)};{s.table}={s.table_frames}/{s.table_bytes};crc={s.checked - s.broken}/{s.checked};skipped={s.skipped}"
         return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), said, s.duration_us, s.offsets)
 
