@@ -3,7 +3,8 @@
 A text, as UTF-8 with runs of white space as one space and A-Z in lower case, is cut where the gear hash of the last
 ``WINDOW`` bytes has ``BITS`` zero bits on top and no other such place lies in the ``GAP`` bytes before. So cuts move with the
 content, and an insertion changes only the chunks around it. What is compared is the digest of two neighbouring
-chunks: single ones may be a word or two and repeat by chance. Pairs that two or more documents hold are repeats;
+chunks: single ones may be a word or two and repeat by chance. Chunks have at most ``MOST`` bytes, below the length from
+which texts can be made that a polynomial hash of 64 bits confuses. Pairs that two or more documents hold are repeats (by their ids);
 overlapping and touching repeats of a document are one span, and spans of ``LEAST_WORDS`` words or more are reported.
 
 Digests are counted with map-side combining and joined back by an equi-join that Spark may split, so a passage that a
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, text_of
+from .common import batches, small_batches, text_of
 from .shingles import _BYTES, _IS_WS, _LOWER, _R, _R_INVERSE, _power, mix
 
 WINDOW, BITS, GAP, MOST = 16, 4, 10, 512
@@ -94,14 +95,20 @@ def pair_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(first.astype(np.int64)), pa.array(key), *(pa.array(x.astype(np.int32)) for x in rest)], names)
 
     kinds = "doc_id bigint, first bigint, key bigint, start int, end int, word_start int, word_end int"
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, n_docs, first_doc_id, is_first): a row for each repeated span. Cutting out the spans
+    """(doc_id, start, end, n_words, n_rows, first_doc_id, is_first): a row for each repeated span; ``n_rows`` counts
+    rows of the table that hold it, and a document without an id comes first. Cutting out the spans
     that are not first leaves one occurrence of each."""
     table = pair_table(docs)
-    shared = table.groupBy("key").agg(F.sum("first").alias("n_docs"), F.min("doc_id").alias("first_doc_id")).where(F.col("n_docs") > 1)
+    ids = (F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
+    shared = table.groupBy("key").agg(F.sum("first").alias("n_rows"), *ids)
+    # Rows that share an id are one document: two ids are two of them, and so are an id and none.
+    shared = shared.where((F.col("first_doc_id") < F.col("last_doc_id")) | ((F.col("unnamed") > 0) & F.col("first_doc_id").isNotNull()))
+    shared = shared.withColumn("first_doc_id", F.when(F.col("unnamed") == 0, F.col("first_doc_id"))).drop("last_doc_id", "unnamed")
     hits = table.drop("first").join(shared, "key")
     of_doc = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -111,7 +118,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     spans = hits.withColumn("span", F.sum("new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "span")
     out = spans.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word_end") - F.min("word_start")).alias("n_words"),
-        F.max("n_docs").alias("n_docs"), F.min("first_doc_id").alias("first_doc_id"), F.first("is_first").alias("is_first"),
+        F.max("n_rows").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.first("is_first").alias("is_first"),
     )
     return out.where(F.col("n_words") >= least_words).drop("span")
 
