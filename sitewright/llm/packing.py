@@ -5,8 +5,8 @@ of one to four lengths that nearly fill a sequence are enumerated, repeat counts
 by non-negative least squares and rounded down, and what remains is packed best-fit decreasing, on counts as well.
 
 The plan is made from the histogram, which has CAPACITY entries however many documents there are; it says for each
-length which ranks go to which sequences and offsets. Ranks within a length come from counts per salted block, so a
-length that a third of all rows have is not sorted in one task.
+length which ranks go to which sequences and offsets. Ranks within a length come from counts per salted block, as many
+blocks as pieces ask for, so a length that a third of all rows have is not sorted in one task.
 
 Defined results: a null or empty text is a piece with the end id alone; a null ``doc_id`` is kept; rows that repeat a
 ``doc_id`` are packed each; other columns are ignored; an empty table gives an empty result.
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stage, text_of
+from .common import batches, small_batches, stage, text_of
 from .tokens import BATCH, default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
-SALT = 64
+#: Least number of blocks that a length's pieces are dealt to, and pieces a block.
+SALT, BLOCK = 64, 200_000
 SWEEPS = 12
 
 
@@ -51,6 +52,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capac
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
@@ -179,7 +181,8 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a staged table of pieces."""
-    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).alias("block")
+    salt = max(SALT, cut.count() // BLOCK)  # a length that all pieces have is ranked in blocks of BLOCK
+    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salt)).alias("block")
     salted = cut.select("*", block)
     held = salted.groupBy("length", "block").agg(F.count("*").alias("n"))
     by_block = Window.partitionBy("length").orderBy("block")
