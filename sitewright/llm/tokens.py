@@ -22,7 +22,7 @@ from .shingles import mix
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a process remembers; beyond these it keeps those that came again.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 256
 BATCH = 1 << 20

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import batches, shared_dir, stage, text_of, unstage
+from .common import batches, shared_dir, small_batches, stage, text_of, unstage
 from .shingles import mix
 from .tokens import BATCH, default_path, encoder
 
@@ -103,6 +103,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 ["digest", "n", "data", "is_first", "doc_id", "recipe", "n_tokens"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
