@@ -97,6 +97,11 @@ def html_described(spark, d):
     return rows.select("site", "pos", "url", "title", "description", "description_provenance", "headings", "body_excerpt", "site_name")
 
 
+def page_titles(spark, d):
+    rows = html.described(site_index.fetched(_t(spark, d, "pages")))
+    return rows.select("site", "pos", "url", "title", "description", "description_provenance", "site_name", F.array_join("headings", "|").alias("headings"), (F.length("body_excerpt") > 200).alias("long"))
+
+
 def html_anchors(spark, d):
     a = html.anchors(site_index.fetched(_t(spark, d, "pages")))
     return a.select("site", "page_url", "at", "href", "text", F.col("u.normal").alias("url"))
@@ -262,7 +267,7 @@ def file_faults(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         url_normalize, url_parts, url_skip, url_labels, url_first_wins, fanout_drop, prefix_cap, total_cap, locale_prefilter, page_shell_checks,
-        html_signature, html_lang_title, html_described, html_anchors, site_signature, drift_detect, neuter_text, first_sentence, sanitize_labels,
+        html_signature, html_lang_title, html_described, page_titles, html_anchors, site_signature, drift_detect, neuter_text, first_sentence, sanitize_labels,
         section_order, label_collisions, latest_job, newest_status, sweep_stuck, active_jobs, sweep_stale, upsert_merge, delete_member, history_page,
         history_export, monitor_batch, terminal_status, public_errors, ip_ranges, url_rejections, robots_rules, token_bucket, site_genres, genre_counts,
         scored_sections, site_indexes, site_indexes_enriched, file_faults,
@@ -472,6 +477,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT w.site, pos, CASE WHEN coalesce(w.sg[d.i], '') <> '' THEN upper(substr(w.sg[d.i], 1, 1)) || replace(substr(w.sg[d.i], 2), '.html', '.Html') || ' ' || w.label ELSE w.label END AS label FROM w LEFT JOIN d ON d.site = w.site AND d.label = w.label""",
         "scored_sections": _scored("floor((1 + pos % 10 - 5.5) * 5 + 0.5)") + """
             SELECT site, pos, url, CAST(score AS DOUBLE) AS score, score >= 15 AND score < 40 AS is_optional, CASE WHEN score >= 40 THEN ['Guides', 'About', 'Resources'][pos % 3 + 1] WHEN score >= 15 THEN 'Optional' END AS section FROM o""",
+        "page_titles": _scored("0") + rf""", nm AS (SELECT *, {_clean(r"trim(regexp_replace(title_tag, '\s+', ' ', 'g'))", "|·•—–")} AS n1, trim(regexp_split_to_array(n1, '\s*[|·•—–]\s*')[1]) AS n2,
+                CASE WHEN (length(n1) > 40 OR regexp_matches(n1, '[|·•—–]')) AND length(n2) BETWEEN 2 AND 60 THEN n2 ELSE n1 END AS n3, split_part(regexp_replace(site, '^www\.', ''), '.', 1) AS n4 FROM e)
+            SELECT site, pos, url, coalesce(nullif({_clean('trim(title_tag)')}, ''), trim(title_tag)) AS title, d AS description, CASE WHEN d IS NOT NULL THEN 'excerpt' ELSE 'none' END AS description_provenance,
+              CASE WHEN length(n3) BETWEEN 2 AND 60 THEN n3 ELSE upper(substr(n4, 1, 1)) || substr(n4, 2) END AS site_name, trim(h1) AS headings, length(t) > 200 AS long FROM nm""",
         "site_indexes": _index("0", "'Resources'"),
         "site_indexes_enriched": _index("floor((1 + pos % 10 - 5.5) * 5 + 0.5)", "['Guides', 'About', 'Resources'][pos % 3 + 1]"),
     } | flow_queries.oracle_sql()
