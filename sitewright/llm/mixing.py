@@ -76,10 +76,10 @@ def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOS
     return t.select("source", "source_size", F.col("target").cast("double").alias("target"))
 
 
-def _with(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def _with(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """Rows with what is said of their source: (s, ...), one row a source. A table of few sources goes to the rows; with
     more, the rows of one source are dealt by range."""
-    if sources.count() <= BROADCAST_SOURCES:
+    if few:
         return rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s")))
     dealt = sources.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     here = rows.withColumn("__at", F.pmod("range", F.lit(PARTS)))
@@ -108,13 +108,14 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPO
     t = targets(totals, weights, most).withColumnRenamed("source", "s")
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     t = stage(t.withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
+    few = t.count() <= BROADCAST_SOURCES
     slot = "struct<range:int,key:double,doc_id:bigint,size:bigint>"
     for k in range(STEPS):
         fits = F.col("size") <= F.col("gap")
         if k:
             fits = fits & (_slot() > F.col(f"cut{k - 1}"))
         said = t.select("s", "gap", *([f"cut{k - 1}"] if k else []))
-        able = _with(rows, said).where(fits)
+        able = _with(rows, said, few).where(fits)
         in_order = Window.partitionBy("source").orderBy("range")
         ranges = able.groupBy("source", "gap", "range").agg(F.sum("size").alias("held")).withColumn("upto", F.sum("held").over(in_order))
         past = (F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("held") <= F.col("gap"))
@@ -122,7 +123,7 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPO
             F.max(F.when(past, F.struct(F.col("range").alias("r"), (F.col("upto") - F.col("held")).alias("used")))).alias("e"), F.max("upto").alias("all")
         )
         ends = stage(ends.select("s", F.col("e.r").alias("r"), F.coalesce("e.used", "all").alias("used")), "mix-ends")
-        inside = _with(rows, t.join(ends.withColumnRenamed("s", "e_s"), F.col("s").eqNullSafe(F.col("e_s"))).drop("e_s").where("r is not null"))
+        inside = _with(rows, t.join(ends.withColumnRenamed("s", "e_s"), F.col("s").eqNullSafe(F.col("e_s"))).drop("e_s").where("r is not null"), few)
         inside = inside.where(fits & (F.col("range") == F.col("r")))
         running = Window.partitionBy("source").orderBy("key", "doc_id", "size")  # equal rows are counted together
         inside = inside.withColumn("upto", F.col("used") + F.sum("size").over(running)).where(F.col("upto") <= F.col("gap"))
@@ -137,7 +138,7 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPO
         t = t.withColumns({f"cut{k}": cut, f"cap{k}": F.col("gap"), "gap": F.col("gap") - F.coalesce("upto", "used", F.lit(0))})
         t = stage(t.drop("e_s", "l_s", "r", "used", "last", "upto"), "mix-plan")
     # What is left goes to the document whose size comes nearest to it.
-    behind = _with(rows, t.where(F.col("gap") > 0)).where(~_taken(STEPS - 1) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+    behind = _with(rows, t.where(F.col("gap") > 0), few).where(~_taken(STEPS - 1) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
     nearest = behind.groupBy(F.col("source").alias("n_s")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "doc_id", "size")).alias("nearest"))
     return t.join(nearest, F.col("s").eqNullSafe(F.col("n_s")), "left").drop("n_s", "gap")
 
@@ -146,7 +147,7 @@ def apply(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds source_size, target and copies to sized rows."""
     nearest = F.col("doc_id").eqNullSafe(F.col("nearest.doc_id")) & (F.col("size") == F.col("nearest.size"))
     extra = _taken(STEPS - 1) | F.coalesce(nearest & F.col("nearest").isNotNull(), F.lit(False))
-    return _with(rows, plans).select(*rows.columns, "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
+    return _with(rows, plans, plans.count() <= BROADCAST_SOURCES).select(*rows.columns, "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
 
 
 def mix(docs: DataFrame, columns: Sequence[str] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
