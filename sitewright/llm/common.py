@@ -199,6 +199,20 @@ def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(known.select("node", "component"))
 
 
+#: Places that the rows of one key are dealt to where it is joined.
+SALTS = 64
+
+
+def salt(row: str) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")
+
+
+def shared_keys(rows: DataFrame, key: str, row: str, *totals: Column) -> DataFrame:
+    """(key, salt, totals): the places that rows with a key are dealt to by ``salt(row)``. A value of the key is joined with
+    these and then with the rows by both, so that a key that many rows have is not one task's, and others aren't copied."""
+    return rows.groupBy(key, salt(row).alias("salt")).agg(*totals)
+
+
 def batches(rows: Iterable, size: Callable[[object], int], most: int) -> Iterator[list]:
     """Lists of rows of about ``most`` bytes; a longer row is alone."""
     out, held = [], 0
