@@ -12,6 +12,7 @@ from .functions import urls
 from .operators import discovery, enrich, monitor, pages, requests, review, store, url_sets, views
 from .plans import crawl, site_index
 from .sources import robots
+from .streaming import decisions, rate_limit
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -311,6 +312,30 @@ def submission_decisions(spark, d):
     return out.select("request", "decision", "key", "page_id", "job_id")
 
 
+def _shared(spark, d):
+    """Requests of ten pages, by known users and from two addresses, and the store before them: pages that are fresh for the first
+    days, pages that are stale and have changed or not, pages that nobody knows."""
+    e = _t(spark, d, "events")
+    k, n = F.col("event_id"), F.col("user_id") % 10
+    url = F.concat(F.lit("https://"), F.when(k % 3 == 0, "www.").otherwise(""), F.lit("s"), n, F.lit(".example.com/"))
+    url = F.when(k % 11 == 0, "ftp://x/").when((n == 9) & (k % 2 == 0), "https://other9.example.com/").otherwise(url)
+    r = e.select(k.alias("request"), "ts", F.when(k % 2 == 0, F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("9.9.9."), F.col("user_id") % 2).alias("ip"), F.when(k % 17 == 0, "https://evil.example").alias("origin"), F.lit("app.example").alias("host"), url.alias("url"))
+    sites = spark.range(10).select(F.col("id").alias("n"), F.concat(F.lit("https://s"), F.col("id"), F.lit(".example.com/")).alias("page"))
+    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    pages = sites.where("n < 6").select(F.col("page").alias("url"), F.concat(F.lit("p"), F.col("n")).alias("id"), F.when(F.col("n") != 5, "# x").alias("result"), (start - F.make_interval(days=(F.col("n") % 3 * 20).cast("int"))).alias("updated_at"), F.when(F.col("n") != 1, "sig").alias("content_signature"))
+    jobs = sites.where("n = 6").select(F.lit(1).cast("long").alias("id"), F.col("page").alias("page_url"), F.lit("crawling").alias("status"), start.alias("created_at"), start.alias("updated_at"))
+    hosts = sites.select(F.explode(F.array(F.concat(F.lit("s"), F.col("n"), F.lit(".example.com")), F.concat(F.lit("www.s"), F.col("n"), F.lit(".example.com")), F.lit("other9.example.com"))).alias("host")).distinct().withColumn("ips", F.array(F.lit("8.8.8.8")))
+    finals = sites.select(F.explode(F.array("page", urls.flip_www(F.col("page")))).alias("url"), "page").select("url", F.col("page").alias("final"))
+    finals = finals.unionByName(spark.createDataFrame([("https://other9.example.com/", "https://s9.example.com/"), ("https://www.other9.example.com/", "https://s9.example.com/")], "url string, final string"))
+    now = sites.select(F.col("page").alias("url"), F.when(F.col("n") == 2, "sig").when(F.col("n") != 4, "other").alias("now"))
+    return r, {"pages": pages, "jobs": jobs, "finals": finals, "addresses": hosts, "signatures": now}
+
+
+def ordered_decisions(spark, d):
+    requests_, tables = _shared(spark, d)
+    return decisions.decided_in_order(requests_, **tables)[0]
+
+
 def two_buckets(spark, d):
     r = _requests(spark, d).withColumn("known", F.col("user").isNotNull()).withColumn("principal", F.coalesce("user", "ip"))
     out = requests.admitted(r, "new_crawl")
@@ -364,9 +389,10 @@ def faulty_moves(spark, d):
     return views.faulty_moves(_jobs(spark, d).select(F.col("page_url").alias("job_id"), F.struct("created_at", "id").alias("at"), "status")).select("job_id", F.col("at.id").alias("id"), "before", "status")
 
 
-def debounced_progress(spark, d):
+def throttled_progress(spark, d):
+    """T-11 at the pace of this table: what is written of each user's events if that is done every six hours at most."""
     e = _t(spark, d, "events").select("user_id", "ts", "event_id")
-    return views.debounced(e, "user_id", "ts", 86_400_000).select("user_id", "ts", "event_id")
+    return rate_limit.throttled(e, "user_id", "ts", 21_600_000, "event_id").select("user_id", "ts", "event_id")
 
 
 # ---- the store and the monitor ---------------------------------------------------------------------------------
@@ -426,8 +452,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         fetch_gate, redirect_chains, sitemap_listing, markdown_probe, home_choice, internal_links, external_links, nav_merge, rank_picks, crawl_frontier, crawl_progress,
         crawl_slots, crawled_indexes, external_fill, enrichment_rows, site_analysis, review_edits, review_orders, url_aliases, review_drops, entry_order, ssrf_checks,
-        canonical_urls, request_fields, submission_decisions, two_buckets, page_views, job_views, job_answers, export_files, status_views,
-        refreshed_rows, faulty_moves, debounced_progress, monitor_checks, monitor_summary, monitor_pages, created_jobs, updated_jobs,
+        canonical_urls, request_fields, submission_decisions, ordered_decisions, two_buckets, page_views, job_views, job_answers, export_files, status_views,
+        refreshed_rows, faulty_moves, throttled_progress, monitor_checks, monitor_summary, monitor_pages, created_jobs, updated_jobs,
     )
     return {f.__name__: f for f in every}
 
@@ -519,6 +545,52 @@ b AS (
 )"""
 
 
+def _ordered_sql() -> str:
+    """One request after another: the state is the buckets' tokens and times, and of each page the last dispatch, its request
+    and whether its signature was checked."""
+    put = lambda xs, at, x: f"list_concat({xs}[1:{at} - 1], [{x}], {xs}[{at} + 1:])"
+    return rf"""
+WITH RECURSIVE r AS (
+  SELECT event_id AS k, epoch_us(ts) / 1e6 AS t, user_id % 10 AS n, event_id % 2 = 0 AS known,
+         CASE WHEN event_id % 2 = 0 THEN 'user:' || user_id ELSE 'ip:9.9.9.' || user_id % 2 END AS who,
+         CASE WHEN event_id % 17 = 0 THEN 'forbidden' WHEN event_id % 11 = 0 THEN 'invalid' END AS refused, epoch_us(TIMESTAMP '2024-01-05 00:00:00') / 1e6 AS start
+  FROM events
+), p AS (
+  SELECT who, row_number() OVER (ORDER BY who) AS p FROM (SELECT DISTINCT who FROM r)
+), o AS MATERIALIZED (
+  SELECT r.*, p.p, CASE WHEN known THEN 50.0 ELSE 3.0 END::DOUBLE AS cap, CASE WHEN known THEN {50 / 3600!r} ELSE {3 / 3600!r} END::DOUBLE AS rate,
+         n IN (0, 3) AND t < start + 86400 AS fresh, n = 6 AND t <= start + 900 AS job, n < 5 AS stored, n <> 4 AS told, n IN (1, 2) AS same, row_number() OVER (ORDER BY t, k) AS i
+  FROM r JOIN p ON p.who = r.who WHERE refused IS NULL
+), s AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS BIGINT) AS by_, CAST(NULL AS BIGINT) AS retry_s,
+         list_transform(range(0, (SELECT count(*) FROM p)), lambda x: CAST(NULL AS DOUBLE)) AS tokens, list_transform(range(0, (SELECT count(*) FROM p)), lambda x: CAST(NULL AS DOUBLE)) AS times,
+         list_transform(range(0, 10), lambda x: CAST(NULL AS DOUBLE)) AS last, list_transform(range(0, 10), lambda x: CAST(NULL AS BIGINT)) AS req, list_transform(range(0, 10), lambda x: false) AS checked
+  UNION ALL
+  SELECT i, k, decision, CASE WHEN decision = 'attached' AND NOT by_job THEN req[n + 1] WHEN decision = 'dispatched' THEN k END,
+         CASE WHEN decision = 'new_crawl_quota' THEN greatest(1, CAST(ceil((1 - left_) / rate) AS BIGINT)) END,
+         CASE WHEN attempt THEN {put("tokens", "p", "CASE WHEN left_ >= 1 THEN left_ - 1 ELSE left_ END")} ELSE tokens END, CASE WHEN attempt THEN {put("times", "p", "t")} ELSE times END,
+         CASE WHEN decision = 'dispatched' THEN {put("last", "(n + 1)", "t")} ELSE last END, CASE WHEN decision = 'dispatched' THEN {put("req", "(n + 1)", "k")} ELSE req END,
+         CASE WHEN asks AND stored AND told THEN {put("checked", "(n + 1)", "true")} ELSE checked END
+  FROM (
+    SELECT *, decision IN ('dispatched', 'new_crawl_quota') AS attempt FROM (
+      SELECT *, CASE WHEN fresh THEN 'cached' WHEN active OR job THEN 'attached' WHEN stored AND told AND (same OR checked[n + 1]) THEN 'cached_unchanged' WHEN left_ >= 1 THEN 'dispatched' ELSE 'new_crawl_quota' END AS decision,
+             NOT (fresh OR active OR job) AS asks, NOT active AND job AS by_job
+      FROM (
+        SELECT o.*, s.tokens, s.times, s.last, s.req, s.checked, coalesce(o.t - s.last[o.n + 1] <= 900, false) AS active, coalesce(least(o.cap, s.tokens[o.p] + (o.t - s.times[o.p]) * o.rate), o.cap) AS left_
+        FROM s JOIN o ON o.i = s.i + 1)))
+), told AS (
+  SELECT r.k, n, coalesce(refused, decision) AS decision, by_, retry_s, job FROM r LEFT JOIN (SELECT s.*, o.job FROM s JOIN o ON o.k = s.k) s ON s.k = r.k
+), keyed AS (
+  SELECT *, CASE WHEN decision IN ('cached', 'attached', 'cached_unchanged', 'dispatched') THEN 'https://s' || n || '.example.com/' END AS key FROM told
+)
+SELECT k AS request, decision, key, retry_s,
+       CASE WHEN key IS NULL THEN NULL WHEN n < 6 THEN 'p' || n
+            ELSE substr(sha256(key), 1, 8) || '-' || substr(sha256(key), 9, 4) || '-4' || substr(sha256(key), 14, 3) || '-8' || substr(sha256(key), 18, 3) || '-' || substr(sha256(key), 21, 12) END AS page_id,
+       CASE WHEN decision = 'attached' AND by_ IS NULL THEN CAST(1 AS BIGINT) END AS job_id, by_ AS dispatched_by
+FROM keyed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     recursive = lambda head: head.replace("WITH", "WITH RECURSIVE", 1)
     statuses = "['pending', 'crawling', 'enriching', 'scoring', 'assembling']"
@@ -578,6 +650,7 @@ def oracle_sql() -> dict[str, str]:
         "request_fields": r"""SELECT c_custkey, ['https://example.com', 'HTTP://a.b', 'mailto:x@y.z', ''][c_custkey % 4 + 1] AS typed, ['/dashboard?x=1', '/', '/', '/', '/', '/', '/ok'][c_custkey % 7 + 1] AS next_path, [true, true, false, false, false][c_custkey % 5 + 1] AS allowed,
             coalesce([NULL, '1.1.1.1', NULL][c_custkey % 3 + 1], ['4.4.4.4', '5.5.5.5', NULL, NULL][c_custkey % 4 + 1], [NULL, NULL, '6.6.6.6'][c_custkey % 3 + 1], 'unknown') AS ip FROM customer""",
         "two_buckets": recursive(_R) + _bucket("r", (3, 3 / 3600), (50, 50 / 3600)) + "SELECT k AS request, allowed FROM b",
+        "ordered_decisions": _ordered_sql(),
         "submission_decisions": recursive(_R) + r""", n AS (SELECT *, 'https://' || CASE WHEN k % 3 = 0 THEN 'www.' ELSE '' END || 'u' || user_id || '.example.com/' AS url, 'https://u' || user_id || '.example.com/' AS page,
               CASE WHEN k % 17 = 0 THEN 'forbidden' WHEN k % 11 = 0 THEN 'invalid' WHEN k % 13 = 0 THEN 'unsafe' END AS refused FROM r),
             w AS (SELECT * FROM n WHERE refused IS NULL AND m <> 0 AND m <> 2 AND NOT (m = 1 AND o = 1))""" + _bucket("w", (3, 3 / 3600), (50, 50 / 3600)) + r"""
@@ -600,7 +673,11 @@ def oracle_sql() -> dict[str, str]:
             FROM customer LEFT JOIN last ON page_url = 'u' || c_custkey""",
         "faulty_moves": _J + rf""", h AS (SELECT page_url AS job_id, id, lag(status) OVER (PARTITION BY page_url ORDER BY created_at, id) AS before, status FROM j)
             SELECT * FROM h WHERE NOT CASE WHEN before IS NULL THEN status = 'pending' WHEN before IN ('complete', 'failed') THEN false WHEN status IN ('complete', 'failed') THEN true ELSE list_position({statuses}, status) >= list_position({statuses}, before) END""",
-        "debounced_progress": "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, date_trunc('day', ts)",
+        "throttled_progress": r"""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL), w AS (
+            SELECT user_id, i, ts AS last, true AS through FROM e WHERE i = 1
+            UNION ALL SELECT e.user_id, e.i, CASE WHEN epoch_us(e.ts) - epoch_us(w.last) >= 21600000000 THEN e.ts ELSE w.last END, epoch_us(e.ts) - epoch_us(w.last) >= 21600000000
+            FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+            SELECT e.user_id, e.ts, e.event_id FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i WHERE through""",
         "monitor_checks": _M + r"""SELECT url, host, CAST((hk - 1) * 400 AS BIGINT) AS wait_ms, changed, error, CASE WHEN changed AND live THEN k END AS attached,
             CASE WHEN changed AND NOT live THEN least((row_number() OVER (PARTITION BY changed ORDER BY seen NULLS FIRST, url) - 1) * 5, 300) END AS delay_s FROM due""",
         "monitor_summary": _M + r"""SELECT count(*) FILTER (error IS NULL) AS checked, count(*) FILTER (changed) AS changed, count(*) FILTER (error IS NOT NULL) AS errors, (SELECT count(*) FROM c WHERE stuck) AS stuck_failed, (SELECT count(*) FROM c WHERE monitored AND old) AS swept,

@@ -1,16 +1,19 @@
-"""Submissions (D7, T-4, U10, U11, U28-U31, K1, J8): what is decided of each request, against a snapshot of the store.
+"""Submissions (D7, T-4, U10, U11, U28-U31, J8): what is looked up for each request, and decided against a snapshot of the store.
 
-A dispatch makes later requests for the same page attach to its job in a service that answers one by one; here all requests
-of a batch are decided on the state before it, and only their limits are folded in order.
+``decided`` takes all requests of a batch on the state before it and folds only their limits in order; ``streaming.decisions``
+decides them one after another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from ..plans.staging import materialize
 from ..streaming import rate_limit
 from . import monitor, store
 
@@ -80,56 +83,78 @@ def client_ip(edge: Column, forwarded: Column, real: Column) -> Column:
 
 def admitted(requests: DataFrame, action: str) -> DataFrame:
     """T-4: (request, allowed, retry_s) of (request, principal, known, ts): buckets by principal, larger ones for known users."""
-    parts = []
-    for known, who in ((True, "auth"), (False, "anon")):
-        rows = requests.where(F.col("known") == known)
-        parts.append(rate_limit.admit(rows, "principal", F.col("ts"), "request", *rate_limit.LIMITS[f"{who}_{action}"]))
-    return parts[0].unionByName(parts[1]).select("request", "allowed", "retry_s")
+    rows = requests.select(F.col("request").cast("long"), "principal", "known", seconds(F.col("ts")).alias("t"))
+    return rate_limit.limited(rows, action, F.lit(True)).select("request", "allowed", "retry_s")
 
 
-def decided(requests: DataFrame, pages: DataFrame, jobs: DataFrame, finals: DataFrame, addresses: DataFrame, signatures: DataFrame, as_of: Column) -> DataFrame:
-    """(request, decision, key, retry_s, page_id, job_id, content_signature) of requests (request, ts, user, ip, origin, host, url).
+def seconds(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp")) / 1e6
 
-    ``pages`` is (url, id, result, updated_at, content_signature), ``jobs`` as in ``store``, ``finals`` (url, final), ``addresses`` (host,
-    ips), ``signatures`` (url, now): what the sites look like now, null where that could not be told. Decisions:
-    forbidden, missing, too_long, invalid, unsafe, submit_flood, cached, attached, cached_unchanged, new_crawl_quota, dispatched.
+
+def prepared(requests: DataFrame, pages: DataFrame, jobs: DataFrame, finals: DataFrame, addresses: DataFrame, signatures: DataFrame, now: Column) -> DataFrame:
+    """Requests (request, ts, user, ip, origin, host, url) with all that a snapshot of the store says of them, staged: (request, t,
+    principal, known, refused, raw, canonical, now, looks). ``now`` is a request's time, or one for all.
+
+    ``looks`` has the addresses that a request is looked up at, in order (T-12, S18): (prio, key, state, page, job, sig, stored), with
+    state cached, attached or null, and ``stored`` whether there is a result.
     """
     known = F.col("user").isNotNull()
     r = requests.withColumns({"url": T.trim(F.col("url")), "_long": F.length("url") > MOST_URL_CHARS, "known": known, "principal": F.when(known, F.concat(F.lit("user:"), F.col("user"))).otherwise(F.concat(F.lit("ip:"), F.col("ip")))})
-    r = r.withColumns({"_u": urls.parsed(F.col("url")), "_ok": origin_allowed(F.col("origin"), F.col("host"))})
+    r = materialize(r.withColumns({"_u": urls.parsed(F.col("url")), "_ok": origin_allowed(F.col("origin"), F.col("host"))}).drop("user", "ip", "origin", "host"), "requests")
     r = r.join(addresses.select(F.col("host").alias("_h"), "ips"), F.col("_u.host") == F.col("_h"), "left").drop("_h")
     refused = (
         F.when(~F.col("_ok"), "forbidden").when(F.coalesce("url", F.lit("")) == "", "missing").when(F.col("_long"), "too_long")
         .when(F.col("_u.scheme").isNull() | ~F.col("_u.scheme").isin("http", "https"), "invalid").when(unsafe(F.col("_u"), F.col("url"), F.col("ips")).isNotNull(), "unsafe")
     )
-    r = r.withColumn("_refused", refused)
-    submit = admitted(r.where("_refused is null"), "submit").withColumnsRenamed({"allowed": "_submit", "retry_s": "_submit_retry", "request": "_r"})
-    r = r.join(submit, F.col("request") == F.col("_r"), "left").drop("_r")
-    r = canonical(r.withColumn("raw", F.coalesce("_u.normal", "url")), finals)
+    r = canonical(r.withColumns({"refused": refused, "raw": F.coalesce("_u.normal", "url")}).drop("ips", "_u", "_ok", "_long"), finals)
     r = r.withColumn("alt", F.coalesce(urls.parsed(urls.flip_www(F.col("url")))["normal"], F.col("url")))
-    stale = store.is_stale(F.col("updated_at"), as_of)
-    p = pages.where(F.length(T.trim(F.col("result"))) > 0).select(F.col("url").alias("_k"), F.col("id").alias("_id"), (~stale).alias("_fresh"), F.col("content_signature").alias("_sig"))
-    live = store.active_job(jobs, as_of).select(F.col("page_url").alias("_k"), F.col("id").alias("_job"))
-    all_ids = pages.select(F.col("url").alias("_k"), F.col("id").alias("_page"))
-    for k in ("raw", "alt", "canonical"):
-        for df in (p, live, all_ids):
-            r = r.join(df.toDF(*(f"{k}{c}" for c in df.columns)), F.col(k) == F.col(f"{k}_k"), "left").drop(f"{k}_k")
-    hit = lambda k: F.when(F.coalesce(f"{k}_fresh", F.lit(False)), F.struct(F.lit("cached").alias("d"), F.col(k).alias("key"), F.col(f"{k}_id").alias("page"), F.lit(None).cast(jobs.schema["id"].dataType).alias("job"))).when(
-        F.col(f"{k}_job").isNotNull(), F.struct(F.lit("attached").alias("d"), F.col(k).alias("key"), F.col(f"{k}_page").alias("page"), F.col(f"{k}_job").alias("job"))
-    )
-    r = r.withColumn("_hit", F.coalesce(hit("raw"), hit("alt"), hit("canonical")))
-    now = signatures.select(F.col("url").alias("_s"), F.col("now").alias("_now"))
-    r = r.join(now, F.col("canonical") == F.col("_s"), "left").drop("_s")
-    unchanged = F.col("canonical_id").isNotNull() & F.col("_now").isNotNull() & ~monitor.changed(F.col("canonical_sig"), F.col("_now"))
-    open_ = F.col("_refused").isNull() & F.col("_submit")
-    r = r.withColumn("_new", open_ & F.col("_hit").isNull() & ~F.coalesce(unchanged, F.lit(False)))
-    crawl = admitted(r.where("_new"), "new_crawl").withColumnsRenamed({"allowed": "_crawl", "retry_s": "_crawl_retry", "request": "_r"})
-    r = r.join(crawl, F.col("request") == F.col("_r"), "left").drop("_r")
-    decision = F.coalesce("_refused", F.when(~F.col("_submit"), "submit_flood"), "_hit.d", F.when(~F.col("_new"), "cached_unchanged"), F.when(~F.col("_crawl"), "new_crawl_quota"), F.lit("dispatched"))
+    s = signatures.select(F.col("url").alias("_s"), F.col("now").alias("now"))
+    r = r.join(s, F.col("canonical") == F.col("_s"), "left").drop("_s", "url")
+    r = materialize(r.select(F.col("request").cast("long"), seconds(F.col("ts")).alias("t"), "ts", "principal", "known", "refused", "raw", "alt", "canonical", "now"), "prepared")
+    live = jobs.where(~F.col("status").isin(*store.TERMINAL)).groupBy("page_url").agg(F.collect_list(F.struct("created_at", "id", "updated_at")).alias("live"))
+    stored = F.length(T.trim(F.col("result"))) > 0
+    p = pages.select(F.col("url").alias("_k"), F.col("id").alias("page"), F.coalesce(stored, F.lit(False)).alias("stored"), "updated_at", F.col("content_signature").alias("sig"))
+    known_at = p.join(live, F.col("_k") == F.col("page_url"), "full").withColumn("_k", F.coalesce("_k", "page_url")).drop("page_url")
+    look = lambda k, prio: F.struct(F.lit(prio).alias("prio"), F.col(k).alias("key"))
+    looks = F.array(look("raw", 1), F.when(F.col("alt") != F.col("raw"), look("alt", 2)), F.when((F.col("canonical") != F.col("raw")) & (F.col("canonical") != F.col("alt")), look("canonical", 3)))
+    one = F.struct("t", "principal", "known", "refused", "raw", "canonical", "now")
+    k = r.select("request", "ts", one.alias("r"), F.inline(F.array_compact(looks))).join(known_at, F.col("key") == F.col("_k"), "left")
+    fine = F.filter("live", lambda j: j["updated_at"] >= now - F.expr(f"INTERVAL {store.STUCK_MINUTES} MINUTES"))
+    job = F.array_max(fine)["id"]
+    fresh = F.coalesce("stored", F.lit(False)) & ~store.is_stale(F.col("updated_at"), now)
+    k = k.withColumns({"job": F.when(~fresh, job), "state": F.when(fresh, "cached").when(job.isNotNull(), "attached"), "stored": F.coalesce("stored", F.lit(False))})
+    k = k.groupBy("request").agg(F.first("r").alias("r"), F.array_sort(F.collect_list(F.struct("prio", "key", "state", "page", "job", "sig", "stored"))).alias("looks"))
+    return materialize(k.select("request", "r.*", "looks"), "looked-up")
+
+
+def first_look(looks: Column, fits: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(looks, fits), F.lit(0))
+
+
+def at_canonical() -> Column:
+    return first_look(F.col("looks"), lambda x: x["key"] == F.col("canonical"))
+
+
+def decided(requests: DataFrame, pages: DataFrame, jobs: DataFrame, finals: DataFrame, addresses: DataFrame, signatures: DataFrame, as_of: Column) -> DataFrame:
+    """(request, decision, key, retry_s, page_id, job_id, content_signature) of requests (request, ts, user, ip, origin, host, url), each
+    against the same snapshot; ``streaming.decisions`` has those where one request sees what the ones before it did.
+
+    ``pages`` is (url, id, result, updated_at, content_signature), ``jobs`` as in ``store``, ``finals`` (url, final), ``addresses`` (host,
+    ips), ``signatures`` (url, now): what the sites look like now, null where that could not be told. Decisions:
+    forbidden, missing, too_long, invalid, unsafe, submit_flood, cached, attached, cached_unchanged, new_crawl_quota, dispatched.
+    """
+    r = prepared(requests, pages, jobs, finals, addresses, signatures, as_of)
+    r = rate_limit.limited(r, "submit", F.col("refused").isNull()).withColumnsRenamed({"allowed": "_submit", "retry_s": "_submit_retry"})
+    r = r.withColumns({"_hit": first_look(F.col("looks"), lambda x: x["state"].isNotNull()), "_at": F.when(at_canonical()["stored"], at_canonical())})
+    unchanged = F.col("_at").isNotNull() & F.col("now").isNotNull() & ~monitor.changed(F.col("_at.sig"), F.col("now"))
+    open_ = F.col("refused").isNull() & F.col("_submit")
+    r = r.withColumn("_new", open_ & F.col("_hit").isNull() & ~unchanged)
+    r = rate_limit.limited(r, "new_crawl", F.col("_new"))
+    decision = F.coalesce("refused", F.when(~F.col("_submit"), "submit_flood"), "_hit.state", F.when(~F.col("_new"), "cached_unchanged"), F.when(~F.col("allowed"), "new_crawl_quota"), F.lit("dispatched"))
     done = decision.isin("cached", "attached", "cached_unchanged", "dispatched")
     return r.select(
         "request", decision.alias("decision"), F.when(done, F.coalesce("_hit.key", "canonical")).alias("key"),
-        F.when(decision == "submit_flood", F.col("_submit_retry")).when(decision == "new_crawl_quota", F.col("_crawl_retry")).alias("retry_s"),
-        F.when(done, F.coalesce("_hit.page", "canonical_id")).alias("page_id"), F.when(done, F.col("_hit.job")).alias("job_id"),
-        F.when(open_ & F.col("_hit").isNull() & F.col("canonical_id").isNotNull(), F.coalesce("_now", "canonical_sig")).alias("content_signature"),
+        F.when(decision == "submit_flood", F.col("_submit_retry")).when(decision == "new_crawl_quota", F.col("retry_s")).alias("retry_s"),
+        F.when(done, F.coalesce("_hit.page", "_at.page")).alias("page_id"), F.when(done, F.col("_hit.job")).alias("job_id"),
+        F.when(open_ & F.col("_hit").isNull() & F.col("_at").isNotNull(), F.coalesce("now", "_at.sig")).alias("content_signature"),
     )

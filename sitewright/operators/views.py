@@ -1,4 +1,4 @@
-"""What the service shows of its store (J1, J3, J4, K10, K13, D1-D6, D8, T-7-T-9, T-11): joins and columns, times as parameters."""
+"""What the service shows of its store (J1, J3, J4, K10, K13, D1-D6, D8, T-7-T-9): joins and columns, times as parameters."""
 
 from __future__ import annotations
 
@@ -114,11 +114,3 @@ def faulty_moves(history: DataFrame) -> DataFrame:
     known = (there > 0) | F.col("status").isin(*TERMINAL)
     fine = F.when(F.col("before").isNull(), F.col("status") == "pending").when(F.col("before").isin(*TERMINAL), False).otherwise(known & ((there == 0) | (there >= here)))
     return h.where(~F.coalesce(fine, F.lit(False))).select("job_id", "at", "before", "status")
-
-
-def debounced(progress: DataFrame, key: str, at: str, least_ms: int = 500) -> DataFrame:
-    """T-11: one row of a key for each interval of a stream or table, the last one in it."""
-    slot = F.window(F.col(at), f"{least_ms} milliseconds")
-    rest = [c for c in progress.columns if c not in (key, at)]
-    out = progress.groupBy(key, slot.alias("_w")).agg(F.max_by(F.struct(at, *rest), F.struct(at, *rest)).alias("_x"))
-    return out.select(key, "_x.*")

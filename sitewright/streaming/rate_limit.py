@@ -1,4 +1,4 @@
-"""Token buckets (T-1-T-3) over request events: a fold for batches, keyed state for streams."""
+"""Token buckets (T-1-T-4) and the throttle (T-11) over events: folds for batches, keyed state for streams."""
 
 from __future__ import annotations
 
@@ -46,6 +46,50 @@ def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float,
     return rows.mapInArrow(fold, f"`{key}` {kind}, `{event}` bigint, allowed boolean, remaining bigint, retry_s bigint")
 
 
+def buckets(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """Rows (.., key, t, capacity, per_second, attempt, tokens, last), folded in order of ``t`` (seconds) and ``tie`` within each
+    key, with ``allowed`` and ``retry_s``; ``tokens`` and ``last`` come as a key's bucket before, null if it is full, and leave as it
+    is behind the row. A row that is no attempt takes nothing: ``allowed`` says whether it would have been.
+
+    Rows are dealt by key and sorted by Spark, which spills; the fold holds one bucket.
+    """
+    ours = ("tokens", "last", "allowed", "retry_s")
+    rest = [c for c in rows.columns if c not in ours]
+
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, tokens, last, begun = None, 0.0, 0.0, False
+        for frame in frames:
+            out = []
+            for k, t, capacity, rate, attempt, tokens_before, last_before in zip(*(frame.column(c).to_pylist() for c in (key, "t", "capacity", "per_second", "attempt", "tokens", "last")), strict=True):
+                if not begun or k != who:
+                    who, begun = k, True
+                    tokens, last = (capacity, t) if tokens_before is None else (tokens_before, last_before)
+                now = min(capacity, tokens + max(0.0, t - last) * rate)
+                ok = now >= 1
+                if attempt:
+                    tokens, last = now - ok, t
+                out.append((tokens, last, ok, None if ok else max(1, ceil((1 - now) / rate))))
+            new = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in rest), *new], [*rest, *ours])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    one = rows.select(*rest, "tokens", "last").repartition(F.col(key)).sortWithinPartitions(key, "t", tie)
+    return one.mapInArrow(fold, f"{kinds}, tokens double, last double, allowed boolean, retry_s bigint")
+
+
+def limited(rows: DataFrame, action: str, attempt: Column, state: DataFrame | None = None) -> DataFrame:
+    """T-4: rows (.., request, principal, known, t) through the buckets of their principals for an action, larger ones for known
+    users, by ``buckets``. ``state`` is (principal, tokens, last) of buckets that are not full."""
+    auth, anon = LIMITS[f"auth_{action}"], LIMITS[f"anon_{action}"]
+    pick = lambda i: F.when(F.col("known"), F.lit(float(auth[i]))).otherwise(F.lit(float(anon[i])))
+    rows = rows.drop("tokens", "last", "allowed", "retry_s").withColumns({"capacity": pick(0), "per_second": pick(1), "attempt": attempt})
+    if state is None:
+        rows = rows.withColumns({"tokens": F.lit(None).cast("double"), "last": F.lit(None).cast("double")})
+    else:
+        rows = rows.join(state.select(F.col("principal").alias("_p"), "tokens", "last"), F.col("principal") == F.col("_p"), "left").drop("_p")
+    return buckets(rows, "principal", "request").drop("capacity", "per_second")
+
+
 def admit_stream(events: DataFrame, capacity: float, per_second: float, idle_ms: int = 3_600_000) -> DataFrame:
     """(key, event, allowed) of a stream (key string, event long, ts timestamp): each micro-batch is sorted within its
     keys; a bucket idle long enough to be full is forgotten."""
@@ -69,6 +113,26 @@ def admit_stream(events: DataFrame, capacity: float, per_second: float, idle_ms:
     return events.groupBy("key").applyInPandasWithState(fold, "key string, event bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def throttled(rows: DataFrame, key: str, at: str, least_ms: int, *tie: str) -> DataFrame:
+    """T-11: of the rows of each key, in order of (at, tie), those that are let through: the first, and each that comes ``least_ms`` or
+    more after the last one that was. A null key is a key; rows without a time are not let through."""
+
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, last, begun = None, None, False
+        for frame in frames:
+            through = []
+            for k, t in zip(frame.column(key).to_pylist(), frame.column("_us").to_pylist(), strict=True):
+                if not begun or k != who:
+                    who, last, begun = k, None, True
+                through.append(t is not None and (last is None or t - last >= 1000 * least_ms))
+                if through[-1]:
+                    last = t
+            yield frame.filter(pa.array(through, pa.bool_()))
+
+    one = rows.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).repartition(F.col(key)).sortWithinPartitions(key, "_us", *tie)
+    return one.mapInArrow(fold, one.schema).drop("_us")
+
+
 def interval(capacity: float, per_second: float) -> str:
     """T-3: the interval in which a limit is told."""
     return "hour" if per_second * 3600 >= 1 else "day" if per_second * 86400 >= 1 else "week"
