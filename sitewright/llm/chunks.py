@@ -5,13 +5,14 @@ A text, as UTF-8 with runs of white space as one space and A-Z in lower case, is
 content, and an insertion changes only the chunks around it. What is compared is the digest of two neighbouring
 chunks: single ones may be a word or two and repeat by chance. Chunks have at most ``MOST`` bytes, below the length from
 which texts can be made that a polynomial hash of 64 bits confuses. Pairs that two or more documents hold are repeats (by their ids);
-overlapping and touching repeats of a document are one span, and spans of ``LEAST_WORDS`` words or more are reported.
+overlapping and touching repeats of a text are one span, and spans of ``LEAST_WORDS`` words or more are reported.
 
 Digests are counted with map-side combining and joined back by an equi-join that Spark may split, so a passage that a
 third of all rows hold is never gathered in one task. Digests have 64 bits; a span needs several equal ones.
 
 Defined results: null, blank and short texts have no spans; passages that only one document repeats are not reported;
-rows that share a ``doc_id`` are one document, null ids included; other columns are ignored; an empty table gives an
+rows that share a ``doc_id`` are one document, null ids included, but spans are told for each of its texts; rows that repeat
+an id and a text get equal spans, told once; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -85,24 +86,24 @@ def chunk_pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def pair_table(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "first", "key", "start", "end", "word_start", "word_end"]
+    names = ["doc_id", "row", "first", "key", "start", "end", "word_start", "word_end"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i.as_py(), t.as_py().encode()) for b in frames for i, t in zip(b.column(0), b.column(1), strict=True))
-        for part in batches((r for r in rows if r[1]), lambda r: len(r[1]), BATCH):
-            text, first, key, *rest = chunk_pairs([t for _, t in part])
-            ids = pa.array([i for i, _ in part], pa.int64()).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(first.astype(np.int64)), pa.array(key), *(pa.array(x.astype(np.int32)) for x in rest)], names)
+        rows = ((i.as_py(), r.as_py(), t.as_py().encode()) for b in frames for i, r, t in zip(*b.columns, strict=True))
+        for part in batches((r for r in rows if r[2]), lambda r: len(r[2]), BATCH):
+            text, first, key, *rest = chunk_pairs([r[2] for r in part])
+            ids, of_row = (pa.array([r[k] for r in part], pa.int64()).take(pa.array(text)) for k in range(2))
+            yield pa.RecordBatch.from_arrays([ids, of_row, pa.array(first.astype(np.int64)), pa.array(key), *(pa.array(x.astype(np.int32)) for x in rest)], names)
 
-    kinds = "doc_id bigint, first bigint, key bigint, start int, end int, word_start int, word_end int"
+    kinds = "doc_id bigint, row bigint, first bigint, key bigint, start int, end int, word_start int, word_end int"
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("row"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, n_rows, first_doc_id, is_first): a row for each repeated span; ``n_rows`` counts
-    rows of the table that hold it, and a document without an id comes first. Cutting out the spans
-    that are not first leaves one occurrence of each."""
+    """(doc_id, row, start, end, n_words, n_rows, first_doc_id, is_first): a row for each repeated span of each text; ``row`` is the
+    hash of the text that start and end belong to, ``n_rows`` counts rows of the table that hold the span, and a document without
+    an id comes first. Cutting out the spans that are not first leaves those of one document."""
     table = pair_table(docs)
     ids = (F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
     shared = table.groupBy("key").agg(F.sum("first").alias("n_rows"), *ids)
@@ -110,12 +111,12 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     shared = shared.where((F.col("first_doc_id") < F.col("last_doc_id")) | ((F.col("unnamed") > 0) & F.col("first_doc_id").isNotNull()))
     shared = shared.withColumn("first_doc_id", F.when(F.col("unnamed") == 0, F.col("first_doc_id"))).drop("last_doc_id", "unnamed")
     hits = table.drop("first").join(shared, "key")
-    of_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    of_doc = Window.partitionBy("doc_id", "row").orderBy("start", "end")
     reach = F.max("end").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("is_first", F.col("first_doc_id").eqNullSafe(F.col("doc_id")))
     breaks = F.coalesce(F.col("start") > reach, F.lit(True)) | (F.col("is_first") != F.lag("is_first").over(of_doc))
     hits = hits.withColumn("new", breaks.cast("int"))
-    spans = hits.withColumn("span", F.sum("new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "span")
+    spans = hits.withColumn("span", F.sum("new").over(of_doc.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "row", "span")
     out = spans.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word_end") - F.min("word_start")).alias("n_words"),
         F.max("n_rows").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.first("is_first").alias("is_first"),
