@@ -103,8 +103,10 @@ def home_summary(description: Column, provenance: Column) -> Column:
 
 def first_sentence(excerpt: Column) -> Column:
     """The first sentence of 21 to 299 characters' worth, if the first match has that length."""
-    s = trim(F.regexp_extract(excerpt, r"[^.!?\n]{20,}[.!?]", 0))
-    return F.when(F.length(s).between(21, 299), s)
+    # Sentences begin where one has ended: no other place of a run is tried.
+    s = trim(F.regexp_extract(excerpt, r"(?<![^.!?\n])[^.!?\n]{20,}+[.!?]", 0))
+    # An array of one, so that the sentence is looked for once.
+    return F.element_at(F.transform(F.array(s), lambda x: F.when(F.length(x).between(21, 299), x)), 1)
 
 
 # Public messages by what the raw one holds, in order.

@@ -4,6 +4,9 @@ Times are parameters, never the clock, so reruns agree."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,29 +154,32 @@ def export_names(rows: DataFrame, name: str, *order: str, per: str | None = None
     out = rows.withColumns({"_family": family, "_k": F.row_number().over(Window.partitionBy(*part, name).orderBy(*order))})
     clash = out.withColumn("_most", F.max("_k").over(Window.partitionBy(*part, "_family")))
     plain = clash.where("_most = 1").withColumn("file", F.col(name))
-    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*part, *order).schema if f.name not in (name,)), f"{name} string", "file string"])
-    small = clash.where("_most > 1")
-    named = small.select("_family", *dict.fromkeys([*part, *order, name])).groupBy(*part, "_family").applyInPandas(_distinct_names(name, order), kinds)
-    keys = list(dict.fromkeys([*part, *order, name]))
-    both = small.join(named, keys)
-    return plain.select(*rows.columns, "file").unionByName(both.select(*rows.columns, "file"))
-
-
-def _distinct_names(name: str, order: tuple[str, ...]):
-    def run(frame):
-        frame = frame.sort_values(list(order), kind="stable")
-        used, out, at = set(), [], {}
-        for n in frame[name]:
-            got = n
-            if n in used:
-                stem, ext = (n[:-4], ".txt") if n.endswith(".txt") else (n, "")
-                k = at.get(n, 2)
-                while f"{stem}-{k}{ext}" in used:
-                    k += 1
-                at[n], got = k + 1, f"{stem}-{k}{ext}"
-            used.add(got)
-            out.append(got)
-        return frame.assign(file=out).drop(columns=["_family"])
+    small = clash.where("_most > 1").drop("_k", "_most").withColumn("file", F.col(name))
+    # Dealt by family and sorted by Spark; the fold holds the names of one family.
+    one = small.repartition(*part, "_family").sortWithinPartitions(*part, "_family", *order)
+    named = one.mapInArrow(_distinct_names(name, [*part, "_family"]), one.schema)
+    return plain.select(*rows.columns, "file").unionByName(named.select(*rows.columns, "file"))
+
+
+def _distinct_names(name: str, family: list[str]):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, used, at = None, set(), {}
+        for frame in frames:
+            out = []
+            for *key, n in zip(*(frame.column(c).to_pylist() for c in (*family, name)), strict=True):
+                if key != here:
+                    here, used, at = key, set(), {}
+                got = n
+                if n in used:
+                    stem, ext = (n[:-4], ".txt") if n.endswith(".txt") else (n, "")
+                    k = at.get(n, 2)
+                    while f"{stem}-{k}{ext}" in used:
+                        k += 1
+                    at[n], got = k + 1, f"{stem}-{k}{ext}"
+                used.add(got)
+                out.append(got)
+            columns = [pa.array(out, pa.string()) if f.name == "file" else c for f, c in zip(frame.schema, frame.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, frame.schema.names)
 
     return run
 

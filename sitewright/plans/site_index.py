@@ -32,13 +32,19 @@ def described(rows: DataFrame, discovered: DataFrame | None = None) -> DataFrame
     A site's language and name are its first page's; its genre is told from that page and all discovered URLs (site, pos,
     url), of which only counts are gathered.
     """
-    homes = rows.groupBy("site").agg(F.min_by("html", "pos").alias("home"))
-    n = (rows if discovered is None else discovered).groupBy(F.col("site").alias("_n")).agg(F.struct(*counts()).alias("n"))
-    homes = homes.join(n, F.col("site") == F.col("_n")).select(F.col("site").alias("_site"), genre(F.col("home"), F.col("n"), F.col("site")).alias("genre"))
+    homes = F.min_by("html", "pos").alias("home")
+    if discovered is None:
+        told = rows.groupBy("site").agg(homes, F.struct(*counts()).alias("n"))
+    else:
+        n = discovered.groupBy(F.col("site").alias("_n")).agg(F.struct(*counts()).alias("n"))
+        told = rows.groupBy("site").agg(homes).join(n, F.col("site") == F.col("_n"))
+    # By itself: within the plan below, the rules' long expression would be computed many times slower.
+    genres = materialize(told.select(F.col("site").alias("_site"), genre(F.col("home"), F.col("n"), F.col("site")).alias("genre")), "genres")
     d = materialize(html.described(rows).drop("x"), "described")
     first = d.groupBy("site").agg(F.min_by(F.struct("lang", "site_name", "description"), "pos").alias("h"), F.min("pos").alias("home_pos"))
     first = first.select(F.col("site").alias("_s"), F.coalesce(urls.base_language(F.col("h.lang")), F.lit("en")).alias("primary_lang"), F.col("h.site_name").alias("_name"), F.col("h.description").alias("home_description"), "home_pos")
-    d = d.join(homes, F.col("site") == F.col("_site")).join(first, F.col("site") == F.col("_s")).withColumn("site_name", F.col("_name")).drop("_site", "_s", "_name")
+    sites = materialize(first.join(genres, F.col("_s") == F.col("_site")).drop("_site"), "sites")
+    d = d.join(sites, F.col("site") == F.col("_s")).withColumn("site_name", F.col("_name")).drop("_s", "_name")
     return P.without_tagline(d).drop("home_description", "home_pos")
 
 

@@ -180,8 +180,8 @@ def delete_member(spark, d):
 def history_page(spark, d):
     reqs = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("page_url"), F.col("o_orderdate").alias("created_at"))
     pgs = _t(spark, d, "customer").select(F.col("c_custkey").alias("url"), "c_name")
-    rows = store.history(reqs, pgs, _jobs(spark, d))
-    return store.page_of(rows, 20, 20, F.desc("created_at"), F.desc("o_orderkey")).select("o_orderkey", "page_url", "c_name", "status", "has_more")
+    rows = store.page_of(reqs, 20, 20, F.desc("created_at"), F.desc("o_orderkey"))
+    return store.history(rows, pgs, _jobs(spark, d)).select("o_orderkey", "page_url", "c_name", "status", "has_more")
 
 
 def history_export(spark, d):

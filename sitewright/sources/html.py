@@ -16,8 +16,22 @@ from ..plans.staging import materialize
 
 # Fixed values of HTML and of what counts as boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: What an end tag that is looked for further out does not go through.
+_WALLS = frozenset("applet caption html marquee object table td template th".split())
+_SPECIAL = _ENDS_P | _WALLS | frozenset("body button dd dt head li select tbody tfoot thead tr".split())
+#: By start tag: open elements that it ends, and what it does not look beyond.
+_ITEMS = {
+    "li": (frozenset(["li"]), frozenset(["ol", "ul", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (frozenset(["td", "th"]), frozenset(["tr"])), "th": (frozenset(["td", "th"]), frozenset(["tr"])), "tr": (frozenset(["tr"]), frozenset(["tbody", "thead", "tfoot"])),
+    "tbody": (frozenset(["tbody", "thead", "tfoot"]), frozenset()), "thead": (frozenset(["tbody", "thead", "tfoot"]), frozenset()), "tfoot": (frozenset(["tbody", "thead", "tfoot"]), frozenset()),
+    "option": (frozenset(["option"]), frozenset(["select", "optgroup"])), "a": (frozenset(["a"]), frozenset()), "button": (frozenset(["button"]), frozenset()),
+}
+_CELLS = frozenset("td th".split())
+_OF_TABLES = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
+_ROWS = frozenset("table tbody tfoot thead tr".split())
 _MAIN_TAGS, _MAIN_CLASSES = {"main", "article"}, {"content", "post-content", "entry-content"}
 _BOILERPLATE_TAGS = frozenset("script style nav footer header form".split())
 _BOILERPLATE_CLASSES = frozenset("sidebar menu nav cookie banner".split())
@@ -57,33 +71,99 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """A lenient tree: void elements, implied end tags, unclosed inline elements end with their parent."""
+    """The tree that a browser builds, as far as texts and their places go: elements that others end, end tags that stop at the
+    block they stand in, formatting that is ended across blocks, and what stands between the cells of a table put before it.
+
+    Not rebuilt are copies of formatting elements that a browser makes in later blocks: they change no text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
 
+    def _find(self, tags: frozenset[str], walls: frozenset[str]) -> int | None:
+        """The place of the innermost open element of these, if no wall is before it."""
+        for k in range(len(self.open) - 1, 0, -1):
+            tag = self.open[k].tag
+            if tag in tags:
+                return k
+            if tag in walls:
+                return None
+        return None
+
+    def _end(self, tags: frozenset[str], walls: frozenset[str]) -> None:
+        k = self._find(tags, walls)
+        if k is not None:
+            del self.open[k:]
+
+    def _add(self, item: Node | str) -> None:
+        """Put an item where it belongs: into the innermost element, or before the table that it cannot stand in."""
+        inner = self.open[-1]
+        if inner.tag not in _ROWS or (isinstance(item, Node) and item.tag in _OF_TABLES | _UNSEEN | {"template"}) or (isinstance(item, str) and not item.strip()):
+            inner.items.append(item)
+            return
+        k = max(i for i, n in enumerate(self.open) if n.tag == "table" or i == 0)
+        outer = self.open[k - 1] if k else inner
+        at = next((i for i in range(len(outer.items) - 1, -1, -1) if outer.items[i] is self.open[k]), len(outer.items))
+        outer.items.insert(at, item)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        if self.open[-1].tag in ends:
+        if tag in ("html", "head", "body") and self._find(frozenset([tag]), frozenset()) is not None:
+            return
+        if tag in _OF_TABLES and self._find(frozenset(["table"]), frozenset(["template"])) is None:
+            return
+        if tag in _ENDS_P:
+            self._end(frozenset(["p"]), _WALLS | {"button"})
+        if tag in _HEADINGS and self.open[-1].tag in _HEADINGS:
             self.open.pop()
+        if tag == "body":
+            self._end(frozenset(["head"]), frozenset())
+        if tag in _ITEMS:
+            ends, walls = _ITEMS[tag]
+            if tag == "a":
+                self._close_across(tag)
+            else:
+                if tag in _OF_TABLES and tag not in _CELLS:
+                    self._end(_CELLS, frozenset(["table"]))
+                    if tag != "tr":
+                        self._end(frozenset(["tr"]), frozenset(["table"]))
+                self._end(ends, walls | ((_WALLS - ends) if tag not in _OF_TABLES else frozenset(["table"])))
+            if tag in ("li", "dt", "dd"):
+                self._end(frozenset(["p"]), _WALLS | {"button"})
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].items.append(node)
+        self._add(node)
         if tag not in _VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        # Only elements of drawings and formulas end so.
+        if tag not in _VOID and self._find(frozenset(["svg", "math"]), frozenset()) is not None:
+            self.open.pop()
+
+    def _close_across(self, tag: str) -> None:
+        """End a formatting element; blocks that were opened in it stay open."""
+        k = self._find(frozenset([tag]), _WALLS)
+        if k is not None:
+            inner = [n for n in self.open[k + 1 :] if n.tag in _SPECIAL]
+            self.open[k:] = self.open[k + 1 :] if inner else []
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if tag in ("html", "body"):
+            return
+        if tag in _FORMATTING:
+            self._close_across(tag)
+        elif tag in _HEADINGS:
+            self._end(_HEADINGS, _WALLS)
+        elif tag in _OF_TABLES or tag == "table":
+            self._end(frozenset([tag]), frozenset(["table"]) - {tag})
+        elif tag in _SPECIAL:
+            self._end(frozenset([tag]), (_WALLS | {"button"} if tag == "p" else _WALLS | {"ol", "ul"} if tag == "li" else _WALLS) - {tag})
+        else:
+            self._end(frozenset([tag]), _SPECIAL)
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].items.append(data)
+        self._add(data)
 
 
 def tree(html: str) -> Node:
@@ -154,7 +234,9 @@ def extract(html: str | None, json_ld: bool = False) -> dict:
         if key and "content" in m.attrs:
             metas.setdefault(key, m.attrs["content"].strip())
     head = next(iter(by.get("head", ())), None)
-    title = next((n for n in (head.items if head else ()) if isinstance(n, Node) and n.tag == "title"), None)
+    # Without a tag the head begins with what only it may hold.
+    above = head or next(iter(by.get("html", ())), root)
+    title = next((n for n in above.items if isinstance(n, Node) and n.tag == "title"), None)
     h1 = next(iter(by.get("h1", ())), None)
     source = next((n for n in nodes if _main(n)), None) or next(iter(by.get("body", ())), root)
     heads = [n.text(lambda x: x.tag in _UNSEEN).strip() for n in nodes if n.tag in ("h1", "h2", "h3")][:10]
