@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from sitewright import queries as site
 from sitewright.functions import text as T
 from sitewright.functions import urls
 from sitewright.functions.genre import counts, genre
@@ -156,7 +157,7 @@ def test_w1_plan_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(__spark_entry__.oracle_sql()) - {"op3_quality_rules"}))
+@pytest.mark.parametrize("name", sorted(site.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     import duckdb
 
@@ -164,8 +165,8 @@ def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("pages", "documents", "part", "events", "orders", "customer", "nation", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    df = __spark_entry__.queries()[name](spark, d)
+    df = site.queries()[name](spark, d)
     cols = sorted(df.columns)
-    want = con.sql(__spark_entry__.oracle_sql()[name])
+    want = con.sql(site.oracle_sql()[name])
     order = [want.columns.index(c) for c in cols]
     assert sorted(str(tuple(r[k] for k in order)) for r in want.fetchall()) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
