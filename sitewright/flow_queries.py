@@ -12,7 +12,7 @@ from .functions import urls
 from .operators import discovery, enrich, monitor, pages, requests, review, store, url_sets, views
 from .plans import crawl, site_index
 from .sources import robots
-from .streaming import decisions, rate_limit
+from .streaming import decisions, memory, rate_limit
 
 AS_OF = "2024-01-15 00:00:00"
 
@@ -342,6 +342,17 @@ def two_buckets(spark, d):
     return out.select("request", "allowed")
 
 
+def bounded_buckets(spark, d):
+    out = memory.admit(_t(spark, d, "events"), "user_id", F.col("ts"), "event_id", *rate_limit.LIMITS["zip_download"], keys=100)
+    return out.select("user_id", "event_id", "since", "held", "allowed")
+
+
+def remembered_hosts(spark, d):
+    """Which pages, fetched in the order of their ids, find their host in a table of 20 hosts."""
+    p = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    return memory.remembered(p, "host", "page_id", keys=20)
+
+
 # ---- views -----------------------------------------------------------------------------------------------------
 
 
@@ -452,7 +463,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         fetch_gate, redirect_chains, sitemap_listing, markdown_probe, home_choice, internal_links, external_links, nav_merge, rank_picks, crawl_frontier, crawl_progress,
         crawl_slots, crawled_indexes, external_fill, enrichment_rows, site_analysis, review_edits, review_orders, url_aliases, review_drops, entry_order, ssrf_checks,
-        canonical_urls, request_fields, submission_decisions, ordered_decisions, two_buckets, page_views, job_views, job_answers, export_files, status_views,
+        canonical_urls, request_fields, submission_decisions, ordered_decisions, two_buckets, bounded_buckets, remembered_hosts, page_views, job_views, job_answers, export_files, status_views,
         refreshed_rows, faulty_moves, throttled_progress, monitor_checks, monitor_summary, monitor_pages, created_jobs, updated_jobs,
     )
     return {f.__name__: f for f in every}
@@ -591,6 +602,13 @@ FROM keyed
 """
 
 
+def _since(table: str, key: str, row: str, more: str, order: str) -> str:
+    """s: accesses with the number of other keys since their key's last one, by comparing each with all in between."""
+    return f"""o AS (SELECT {key}, {row}, {more}, row_number() OVER (ORDER BY {order}) AS a FROM {table}), g AS (SELECT *, lag(a) OVER (PARTITION BY {key} ORDER BY a) AS prev FROM o),
+            n AS (SELECT x.a, count(*) AS since FROM g x JOIN g y ON y.a > x.prev AND y.a < x.a WHERE coalesce(y.prev, 0) < x.prev GROUP BY x.a),
+            s AS (SELECT g.*, CASE WHEN prev IS NOT NULL THEN coalesce(since, 0) END AS since FROM g LEFT JOIN n ON n.a = g.a)"""
+
+
 def oracle_sql() -> dict[str, str]:
     recursive = lambda head: head.replace("WITH", "WITH RECURSIVE", 1)
     statuses = "['pending', 'crawling', 'enriching', 'scoring', 'assembling']"
@@ -650,6 +668,12 @@ def oracle_sql() -> dict[str, str]:
         "request_fields": r"""SELECT c_custkey, ['https://example.com', 'HTTP://a.b', 'mailto:x@y.z', ''][c_custkey % 4 + 1] AS typed, ['/dashboard?x=1', '/', '/', '/', '/', '/', '/ok'][c_custkey % 7 + 1] AS next_path, [true, true, false, false, false][c_custkey % 5 + 1] AS allowed,
             coalesce([NULL, '1.1.1.1', NULL][c_custkey % 3 + 1], ['4.4.4.4', '5.5.5.5', NULL, NULL][c_custkey % 4 + 1], [NULL, NULL, '6.6.6.6'][c_custkey % 3 + 1], 'unknown') AS ip FROM customer""",
         "two_buckets": recursive(_R) + _bucket("r", (3, 3 / 3600), (50, 50 / 3600)) + "SELECT k AS request, allowed FROM b",
+        "bounded_buckets": "WITH RECURSIVE " + _since("events", "user_id", "event_id", "epoch_us(ts) / 1e6 AS t", "ts, event_id") + r""", h AS (SELECT *, coalesce(since < 100, false) AS held, row_number() OVER (PARTITION BY user_id ORDER BY a) AS i FROM s),
+            b AS (SELECT user_id, event_id, since, held, t, i, 0.0::DOUBLE AS tokens, true AS allowed FROM h WHERE i = 1 UNION ALL
+              SELECT h.user_id, h.event_id, h.since, h.held, h.t, h.i, n.had - CASE WHEN n.had >= 1 THEN 1 ELSE 0 END, n.had >= 1
+              FROM b JOIN h ON h.user_id = b.user_id AND h.i = b.i + 1, LATERAL (SELECT CASE WHEN h.held THEN least(1.0, b.tokens + (h.t - b.t) / 86400) ELSE 1.0 END AS had) n)
+            SELECT user_id, event_id, since, held, allowed FROM b""",
+        "remembered_hosts": "WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), " + _since("p", "host", "page_id", "1", "page_id") + " SELECT page_id, host, since, coalesce(since < 20, false) AS held FROM s",
         "ordered_decisions": _ordered_sql(),
         "submission_decisions": recursive(_R) + r""", n AS (SELECT *, 'https://' || CASE WHEN k % 3 = 0 THEN 'www.' ELSE '' END || 'u' || user_id || '.example.com/' AS url, 'https://u' || user_id || '.example.com/' AS page,
               CASE WHEN k % 17 = 0 THEN 'forbidden' WHEN k % 11 = 0 THEN 'invalid' WHEN k % 13 = 0 THEN 'unsafe' END AS refused FROM r),

@@ -18,8 +18,9 @@ LIMITS = {
 }
 
 
-def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float, per_second: float) -> DataFrame:
-    """(key, event, allowed, remaining, retry_s) of events folded in time order within each key; buckets start full.
+def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float, per_second: float, held: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, event, allowed, remaining, retry_s) of events folded in time order within each key; buckets start full, and again
+    where ``held`` says that a key's bucket was given up. ``keep`` columns follow the event.
 
     Rows are dealt by key and sorted, by Spark, which spills; the fold then reads them once and holds one bucket, so a key
     with many events takes time but no memory.
@@ -30,8 +31,8 @@ def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float,
         who, tokens, last, begun = None, 0.0, 0.0, False
         for frame in frames:
             allowed, remaining, retry = [], [], []
-            for k, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
-                if not begun or k != who:
+            for k, t, same in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2).to_pylist(), strict=True):
+                if not begun or k != who or not same:
                     who, tokens, last, begun = k, float(capacity), t, True
                 tokens, last = min(float(capacity), tokens + max(0.0, t - last) * per_second), t
                 ok = tokens >= 1
@@ -39,11 +40,14 @@ def admit(events: DataFrame, key: str, at: Column, event: str, capacity: float,
                 tokens -= ok
                 allowed.append(ok)
                 remaining.append(floor(tokens))
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(2), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(retry, pa.int64())], [key, event, "allowed", "remaining", "retry_s"])
+            new = [pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(retry, pa.int64())]
+            yield pa.RecordBatch.from_arrays([frame.column(0), *frame.columns[3:], *new], [key, event, *keep, "allowed", "remaining", "retry_s"])
 
-    rows = events.select(F.col(key), (F.unix_micros(at.cast("timestamp")) / 1e6).alias("_t"), F.col(event).cast("long").alias(event))
+    same = F.lit(True) if held is None else held
+    rows = events.select(F.col(key), (F.unix_micros(at.cast("timestamp")) / 1e6).alias("_t"), same.alias("_same"), F.col(event).cast("long").alias(event), *keep)
     rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_t", event)
-    return rows.mapInArrow(fold, f"`{key}` {kind}, `{event}` bigint, allowed boolean, remaining bigint, retry_s bigint")
+    kept = "".join(f", `{c}` {events.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(fold, f"`{key}` {kind}, `{event}` bigint{kept}, allowed boolean, remaining bigint, retry_s bigint")
 
 
 def buckets(rows: DataFrame, key: str, tie: str) -> DataFrame:
