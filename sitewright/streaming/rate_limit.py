@@ -117,6 +117,62 @@ def admit_stream(events: DataFrame, capacity: float, per_second: float, idle_ms:
     return events.groupBy("key").applyInPandasWithState(fold, "key string, event bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+_ORDERED = "request bigint, principal string, submitted boolean, submit_retry bigint, allowed boolean, retry_s bigint"
+
+
+def limited_stream(requests: DataFrame, delay: str) -> DataFrame:
+    """T-4 in event time: (request, principal, submitted, submit_retry, allowed, retry_s) of a stream (request long, principal string, known
+    boolean, asks boolean, ts timestamp) whose rows come up to ``delay`` out of order, over micro-batches or within them.
+
+    A principal's requests wait in its state until the watermark is past them and are then folded in order of (ts, request): first
+    through the bucket of submissions, then, if they pass and ask for a crawl, through that of crawls, else ``allowed`` is null. So any cut into
+    batches gives the result of ``limited``. An event-time timer wakes a principal for its earliest waiting request, and later, when
+    both buckets are full, to be forgotten: a new bucket is the same. State is two buckets and the requests of one delay.
+    Rows without a time are dropped, and so are, by Spark, those that come after the watermark; the query's progress counts these.
+    """
+    limits = {known: [LIMITS[f"{who}_{action}"] for action in ("submit", "new_crawl")] for known, who in ((True, "auth"), (False, "anon"))}
+    none = {"request": "int64", "principal": "object", "submitted": "boolean", "submit_retry": "Int64", "allowed": "boolean", "retry_s": "Int64"}
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        buckets, waiting = [[None, None], [None, None]], []
+        if state.exists:
+            *flat, times, ids, known, asks = state.get
+            buckets, waiting = [list(flat[:2]), list(flat[2:])], list(zip(times, ids, known, asks, strict=True))
+        for f in frames if not state.hasTimedOut else ():
+            us = f["ts"].astype("datetime64[us]").astype("int64")
+            waiting += zip(us.tolist(), f["request"].tolist(), map(bool, f["known"]), map(bool, f["asks"]), strict=True)
+        watermark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [w for w in waiting if w[0] <= 1000 * watermark]
+        waiting, out = waiting[len(ready) :], []
+
+        def take(which: int, known: bool, t: float) -> tuple[bool, int | None]:
+            capacity, rate = limits[known][which]
+            tokens, last = buckets[which]
+            tokens = float(capacity) if tokens is None else min(float(capacity), tokens + max(0.0, t - last) * rate)
+            ok = tokens >= 1
+            buckets[which] = [tokens - ok, t]
+            return ok, None if ok else max(1, ceil((1 - tokens) / rate))
+
+        for us, request, known, asks in ready:
+            submitted = take(0, known, us / 1e6)
+            allowed = take(1, known, us / 1e6) if submitted[0] and asks else (None, None)
+            out.append((request, key[0], *submitted, *allowed))
+        # When the slower of the limits that a principal may have has filled both buckets.
+        full = [last + (max(c for c, _ in pair) - tokens) / min(r for _, r in pair) for (tokens, last), pair in zip(buckets, zip(*limits.values(), strict=True), strict=True) if tokens is not None]
+        wake = waiting[0][0] // 1000 + 1 if waiting else ceil(1000 * max(full, default=0.0))
+        if waiting or wake > watermark:
+            state.update((*buckets[0], *buckets[1], *([w[i] for w in waiting] for i in range(4))))
+            state.setTimeoutTimestamp(max(wake, watermark + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=list(none)).astype(none)
+
+    rows = requests.where(F.col("ts").isNotNull()).select("request", F.coalesce("principal", F.lit("unknown")).alias("principal"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("asks", F.lit(False)).alias("asks"), "ts").withWatermark("ts", delay)
+    kinds = "t1 double, l1 double, t2 double, l2 double, times array<bigint>, ids array<bigint>, known array<boolean>, asks array<boolean>"
+    return rows.groupBy("principal").applyInPandasWithState(fold, _ORDERED, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def throttled(rows: DataFrame, key: str, at: str, least_ms: int, *tie: str) -> DataFrame:
     """T-11: of the rows of each key, in order of (at, tie), those that are let through: the first, and each that comes ``least_ms`` or
     more after the last one that was. A null key is a key; rows without a time are not let through."""
