@@ -66,6 +66,29 @@ def test_secrets(docs, texts):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_secret_digest_scans_unseen_pairs(spark, docs, tmp_path):
+    """The scan of all rules evaluates those that the scan of the base rules did not; a second digest evaluates nothing; a new text
+    and a new rule version are evaluated where they are unseen."""
+    folder = str(tmp_path / "ledger")
+    ids = lambda rules: sorted(r.id for r in rules)
+    rows = lambda: [(x.blob, sorted(x.rules)) for x in spark.read.parquet(folder).collect()]
+    docs = docs.dropDuplicates(["doc_id", "text"])  # rows that repeat both are scanned each
+    first = sorted(map(tuple, secrets.digest(docs, folder=folder).collect()), key=repr)
+    seen = rows()
+    blobs = {b for b, _ in seen}
+    assert sorted(seen) == sorted([(b, ids(secrets.BASE_RULES)) for b in blobs] + [(b, ids(secrets.MORE_RULES)) for b in blobs])
+    assert first == sorted(map(tuple, secrets.digest(docs).collect()), key=repr)
+    assert sorted(map(tuple, secrets.digest(docs, folder=folder).collect()), key=repr) == first and len(rows()) == len(seen)
+    more = docs.unionByName(spark.createDataFrame([(-5, "a new text, password = abcdefghijkl1234")], "doc_id long, text string"), allowMissingColumns=True)
+    newer = (*secrets.RULES[:-1], secrets.Rule("chat", secrets.RULES[-1].pattern, version=2))
+    got = {x.doc_id: x.n_assign for x in secrets.digest(more, newer, folder).collect()}
+    added = [x for x in rows() if x not in seen]
+    new = {b for b, _ in added} - blobs
+    assert got[-5] == 1 and len(new) == 1
+    assert sorted(r for b, r in added if b in new) == [ids(secrets.BASE_RULES), ids(newer[3:])]
+    assert {b for b, r in added if b in blobs and r == ["chat@2"]} == blobs
+
+
 def test_secret_ledger(spark, docs, texts, tmp_path):
     folder = str(tmp_path / "ledger")
     first = secrets.update(docs, folder, secrets.BASE_RULES).cache()
