@@ -163,16 +163,14 @@ def joined(found: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, folder: str | None = None) -> DataFrame:
-    """The findings of every document, from a ledger to which the base rules' scan is added first and then that of all rules: the second
-    one reads what the first has seen and evaluates the other rules only. A ``folder`` that is given is kept, and later
-    calls with it scan new texts and new rule versions only; else the ledger ends with the driver."""
+    """The findings of every document, from a ledger that is brought up to date first. A ``folder`` that is given is kept, and later
+    calls with it scan unseen texts and rule versions only; else the ledger begins empty and ends with the driver."""
     found = F.col("found")
     base = F.filter(found, lambda x: x["kind"] < len(BASE_RULES))
     count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
     if folder is None:
         folder = f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
         common._STAGED.append((docs.sparkSession, folder))
-    update(docs, folder, rules[: len(BASE_RULES)])
     return join_back(docs, update(docs, folder, rules), rules).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(base, rules), 256).alias("base_sha256"), joined(found, rules).alias("spans"),
