@@ -6,6 +6,8 @@ Nothing is fetched here: ``fetches`` is (url, status, content_type, content_leng
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,18 @@ def redirected(starts: DataFrame, fetches: DataFrame, most: int = MOST_REDIRECTS
     return at.select("url", F.when(F.col("done"), F.col("final")).alias("final"), "hops", F.when(~F.col("done"), over).otherwise(F.col("error")).alias("error"))
 
 
-def markdown_urls(pages: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Adds md_url to (.., u): the page's Markdown sibling, if there is a response that is Markdown."""
+def markdown_urls(pages: DataFrame, fetches: DataFrame, asked_by: Sequence[str] = ()) -> DataFrame:
+    """Adds md_url to (.., u): the page's Markdown sibling, if there is a response that is Markdown. Pages may share a
+    sibling: each keeps one row, and has what was answered to itself if responses name the page by the columns ``asked_by``."""
     kind = F.coalesce("content_type", F.lit(""))
     marked = bounded_text(F.substr("body", F.lit(1), F.lit(4096))).rlike(r"(?m)^#{1,6} |\[.+\]\(.+\)")
     plain = kind.contains("text/plain") & F.coalesce(marked, F.lit(False))
     good = F.col("failure").isNull() & F.col("status").between(200, 299) & (kind.contains("text/markdown") | kind.contains("text/x-markdown") | plain)
-    have = fetches.where(good).select(F.col("url").alias("_md"))
-    return pages.join(have, urls.markdown_sibling(F.col("u")) == F.col("_md"), "left").withColumnRenamed("_md", "md_url")
+    have = fetches.where(good).select(F.col("url").alias("_md"), *(F.col(c).alias(f"_by_{c}") for c in asked_by)).distinct()
+    same = urls.markdown_sibling(F.col("u")) == F.col("_md")
+    for c in asked_by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return pages.join(have, same, "left").withColumnRenamed("_md", "md_url").drop(*(f"_by_{c}" for c in asked_by))
 
 
 def homepages(plain: DataFrame, rendered: DataFrame) -> DataFrame:
