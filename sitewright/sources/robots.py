@@ -82,10 +82,10 @@ def locations(xml: Column) -> Column:
     return F.transform(raw, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
 
 
-def sitemap_urls(starts: DataFrame, fetches: DataFrame, most: int = 500, subs: int = 5) -> DataFrame:
+def sitemap_urls(starts: DataFrame, fetches: DataFrame, most: int | None = 500, subs: int = 5) -> DataFrame:
     """(site, top, url, u, pos) from (site, url) and (url, body, content_type): normal addresses in document order.
 
-    Indexes are followed twice, five entries each; 500 addresses a start. Responses that are neither XML nor text, where that
+    Indexes are followed twice, five entries each; 500 addresses a start, or all if ``most`` is None. Responses that are neither XML nor text, where that
     is known, and addresses that cannot be normalised count for nothing.
     """
     kind = F.col("content_type") if "content_type" in fetches.columns else F.lit("text/xml")
@@ -102,5 +102,7 @@ def sitemap_urls(starts: DataFrame, fetches: DataFrame, most: int = 500, subs: i
         at = locs.where(F.col("is_index") & (F.col("k") < subs)).select("site", "top", F.col("loc").alias("url"), "order")
     found = found.withColumn("u", urls.normalized(F.col("loc"))).where(F.col("u.normal").isNotNull())
     w = Window.partitionBy("site", "top").orderBy("order")
-    found = found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    found = found.withColumn("pos", F.row_number().over(w))
+    if most is not None:
+        found = found.where(F.col("pos") <= most)
     return found.select("site", "top", F.col("u.normal").alias("url"), "u", "pos")
