@@ -54,13 +54,14 @@ def site_rules(sites: DataFrame, fetches: DataFrame) -> DataFrame:
 def redirected(starts: DataFrame, fetches: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
     """(url, final, hops, error) of (url): redirects followed one join a hop. A redirect to itself or to nothing that can
     be parsed ends a chain; an address that may not be asked, or one hop too many, is an error."""
-    # Each redirect is parsed once: where it leads, and why that may not be asked.
+    # Each redirect is parsed once: where it leads, and why that may not be asked. They are as many as the chains, so each hop
+    # is dealt by its URL: a table that is small on disk would be held by every task of all hops at once.
     hops = fetches.where(F.col("status").between(300, 399) & F.col("location").isNotNull()).select(F.col("url").alias("_from"), urls.parsed(F.col("location"), F.col("url")).alias("_u"))
     hops = hops.select("_from", urls.written(F.col("_u")).alias("_to"), urls.rejection(F.col("_u")).alias("_refused"))
     hops = materialize(hops.where(F.col("_to").isNotNull() & (F.col("_to") != F.col("_from"))), "redirects")
     at = starts.select("url", F.col("url").alias("final"), F.lit(0).alias("hops"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("error"))
     for _ in range(most + 1):
-        to = at.join(hops, (F.col("final") == F.col("_from")) & ~F.col("done"), "left")
+        to = at.join(hops.hint("merge"), (F.col("final") == F.col("_from")) & ~F.col("done"), "left")
         moves = F.col("_to").isNotNull() & F.col("_refused").isNull()
         at = to.select(
             "url", F.when(moves, F.col("_to")).otherwise(F.col("final")).alias("final"), (F.col("hops") + moves.cast("int")).alias("hops"), (F.col("done") | ~moves).alias("done"), F.coalesce("error", "_refused").alias("error"),
