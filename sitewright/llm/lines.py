@@ -16,7 +16,7 @@ the blocks of the one with more words. README states recall by length.
 
 In each inverted list of several components a pivot is paired with every other member, first the form with the most shared
 lists, then one that it did not reach. In lists that are still open the members of different components are paired in
-full, in blocks of rows, if they agree in two blocks. Texts are not moved: the lines of forms in lists are read again once, and compared first for few
+full, in blocks of rows. Texts are not moved: the lines of forms in lists are read again once, and compared first for few
 edits and then for as many as the similarity allows: of characters, and of words in lines of more than ``WORDWISE`` characters.
 
 Defined results: null texts have no lines and stay null; blank lines, lines of marks alone and shorter ones always stay; a
@@ -49,7 +49,9 @@ TINY = 8
 LEAST_SEVERAL, LEAST_ONE = 12, 18
 #: Levels of lines whose words are blocks, and of lines without keys.
 WORDS, NONE = -2, -1
-PIVOTS, TWO = 2, 2
+PIVOTS = 2
+#: Blocks that members of an open list must agree in to be compared: that of the list and no other one.
+TWO = 1
 #: Members of a list that one task pairs with all of it.
 BLOCK = 256
 BROADCAST_IDS = 500_000
@@ -145,8 +147,8 @@ def _named(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _in_full(members: DataFrame, known: DataFrame) -> DataFrame:
     """(p, x): the pairs of different components in each list, in blocks of rows, whose lengths fit. Lines with one block a
-    key must agree in TWO blocks: one that few edits of many were made to has more of them left. They are paired in the
-    list of the first block that makes a key of both."""
+    key are paired in the list of the first of the blocks in ``known`` that makes a key of both; in lists of further blocks,
+    and of a level that is not the lines' last, whatever else they share."""
     sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     names, sizes = [f"b{b}" for b in range(KEPT)], [f"c{b}" for b in range(KEPT)]
     own = known.where(F.col("level") != NONE).groupBy(F.col("id").alias("x")).agg(F.max_by(F.struct("level", *names, *sizes), "level").alias("s"))
@@ -160,7 +162,7 @@ def _in_full(members: DataFrame, known: DataFrame) -> DataFrame:
     before = F.lit(False)
     for k in range(KEPT - 1):
         before = before | ((F.col("at") > k) & same[k] & (F.col(f"c{k}") >= LEAST_ONE))
-    alike = (F.col("p_level") != F.col("level")) | (F.col("level") < len(SHORT)) | ((equal >= TWO) & ~before)
+    alike = (F.col("p_level") != F.col("level")) | (F.col("level") < len(SHORT)) | (F.col("at") < 0) | ((equal >= TWO) & ~before)
     fits = (F.col("p_c") != F.col("c")) & (F.col("p_x") < F.col("x")) & _lengths_fit(F.col("p_n"), F.col("n")) & alike
     pairs = stage(a.join(b, ["key", "block"]).where(fits).select(F.col("p_x").alias("p"), "x").distinct(), "line-pairs")
     unstage(rows)
