@@ -10,7 +10,8 @@ block's bits alone, and a changed word touches two blocks at most: the pigeonhol
 asked to be equal, a bit is the parity of its words' bits and not their majority, which tells more lines apart. Of the
 five blocks of a line of up to 19 different words any three that agree are a key, and one changed, added or removed word
 leaves three alone; of the six of up to 24 words any two, which two changed words leave. Longer lines have more blocks the
-more words they have (about five words each, by ``_level``), the first of which are kept, and one that agrees is a key. In lines of up to ``TINY`` words each word is a block and keys are all words
+more words they have (about five words each, by ``_level``), and one that agrees is a key: the first are kept with the form,
+the rest are made again from its words when lists are. In lines of up to ``TINY`` words each word is a block and keys are all words
 and all but one. A line that a longer one of the next level may be similar to has keys of both, so two lines are compared by
 the blocks of the one with more words. README states recall by length.
 
@@ -41,7 +42,7 @@ LEAST_WORDS, LEAST_CHARS = 3, 16
 #: Longer lines are compared by words, which takes a thirtieth of the time.
 WORDWISE = 600
 #: By level: least words, blocks, and how many of them make a key. From LONG words on blocks grow with the words, level by
-#: level by GROWTH, the first KEPT of them count, and one is a key.
+#: level by GROWTH, and one is a key; the first KEPT of them are columns of a form.
 SHORT = ((0, 5, 3), (20, 6, 2))
 LONG, LONG_BLOCKS, GROWTH, KEPT = 25, 6, 1.5, 10
 TINY = 8
@@ -124,6 +125,19 @@ def keys(known: DataFrame) -> DataFrame:
     return known.select(F.explode(every).alias("key"), F.col("id").alias("x"), "n")
 
 
+def further_keys(known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, x, n) of the lists of the blocks that ``known`` has no columns for: those of long lines beyond the first KEPT, made
+    of their words, which are read again."""
+    long = known.where((F.col("level") >= len(SHORT)) & (_n_blocks(F.col("level")) > KEPT)).select(F.col("id").alias("x"), "level", "n")
+    long = stage(long, "long-lines")
+    texts = _texts(long.select("x").distinct(), known, docs)
+    rows = texts.join(long, "x").select("x", "n", "level", F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+    rows = rows.select("x", "n", "level", F.xxhash64("w").alias("h"), F.length("w").alias("chars"))
+    rows = rows.withColumn("k", F.pmod(F.hash("h"), _n_blocks(F.col("level")))).where(F.col("k") >= KEPT)
+    blocks = rows.groupBy("x", "n", "level", "k").agg(F.bit_xor("h").alias("b"), F.sum("chars").alias("under"))
+    return blocks.where(F.col("under") >= LEAST_ONE).select(F.xxhash64("level", "k", "b").alias("key"), "x", "n")
+
+
 def _listed(keyed: DataFrame) -> DataFrame:
     """The members of lists of two forms or more."""
     keyed = keyed.repartition("key")
@@ -171,7 +185,7 @@ def _in_full(members: DataFrame, known: DataFrame) -> DataFrame:
 
 def links(known: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of linked forms."""
-    listed = stage(_listed(keys(known)), "line-lists")
+    listed = stage(_listed(keys(known).unionByName(further_keys(known, docs))), "line-lists")
     central = stage(listed.groupBy("x").agg(F.count("*").alias("shared")), "listed-lines")
     texts = stage(_texts(central.select("x"), known, docs), "line-texts")
     members = stage(listed.join(central, "x").select("key", "x", "n", "shared", F.col("x").alias("c"), F.lit(False).alias("done")), "line-lists")
