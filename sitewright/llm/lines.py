@@ -11,7 +11,7 @@ asked to be equal, a bit is the parity of its words' bits and not their majority
 five blocks of a line of up to 19 different words any three that agree are a key, and one changed, added or removed word
 leaves three alone; of the six of up to 24 words any two, which two changed words leave. Longer lines have more blocks the
 more words they have (about five words each, by ``_level``), and one that agrees is a key: the first are kept with the form,
-the rest are made again from its words when lists are. In lines of up to ``TINY`` words each word is a block and keys are all words
+the rest are further rows of it. In lines of up to ``TINY`` words each word is a block and keys are all words
 and all but one. A line that a longer one of the next level may be similar to has keys of both, so two lines are compared by
 the blocks of the one with more words. README states recall by length.
 
@@ -32,7 +32,7 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, extended, let, stage, unstage
@@ -84,8 +84,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, id, n, nw, level, b0, c0, ...) of each line that may go, for each of its levels: ``id`` names the normal
-    form, ``n`` and ``nw`` are its characters and different words, b0 is the first block and c0 the characters of its words."""
+    """(doc_id, row, at, id, n, nw, level, chunk, b0, c0, ...) of each line that may go, for each of its levels and each KEPT of
+    its blocks: ``id`` names the normal form, ``n`` and ``nw`` are its characters and different words, b0 is the first block of
+    the chunk and c0 the characters of its words."""
     rows = _lines(docs).select("doc_id", "row", "one", "at", F.array_distinct("ws").alias("ws"), F.xxhash64("ws").alias("id"), F.length(F.array_join("ws", " ")).alias("n"))
     rows = rows.withColumn("nw", F.size("ws"))
     # No rows for lines that always stay: a filter would be moved below the words and make them twice.
@@ -94,56 +95,57 @@ def line_table(docs: DataFrame) -> DataFrame:
     levels = F.array_distinct(F.array(_level(F.col("nw")), _level(F.floor(F.col("nw") / SIMILAR))))
     levels = F.when(F.col("nw") < LEAST_WORDS, exact).when(F.col("nw") <= TINY, tiny).otherwise(levels)
     keys = ["doc_id", "row", "at", "id", "n", "nw", "level"]
-    rows = rows.select("*", F.explode(levels).alias("level")).select("one", *keys, F.posexplode("ws").alias("i", "w"))
-    rows = rows.select("one", *keys, "i", F.xxhash64("w").alias("h"), F.length("w").alias("chars"))
-    rows = rows.withColumn("k", F.when(F.col("level") == WORDS, F.col("i")).otherwise(F.pmod(F.hash("h"), _n_blocks(F.col("level")))))
+    of_level = F.transform(levels, lambda x: F.struct(x.alias("level"), _n_blocks(x).alias("n_blocks")))  # once a line, not a word
+    rows = rows.select("one", *keys[:-1], "ws", F.explode(of_level).alias("l")).select("one", *keys[:-1], "l.*", F.posexplode("ws").alias("i", "w"))
+    rows = rows.select("one", *keys, "n_blocks", "i", F.xxhash64("w").alias("h"), F.length("w").alias("chars"))
+    rows = rows.withColumn("k", F.when(F.col("level") == WORDS, F.col("i")).otherwise(F.pmod(F.hash("h"), F.col("n_blocks"))))
+    rows = rows.withColumn("chunk", F.floor(F.col("k") / KEPT).cast("int")).withColumn("k", F.col("k") % KEPT)
     bits = [F.bit_xor(F.when(F.col("k") == b, F.col("h")).otherwise(F.lit(0).cast("long"))).alias(f"b{b}") for b in range(KEPT)]
     sizes = [F.sum(F.when(F.col("k") == b, F.col("chars")).otherwise(F.lit(0))).cast("int").alias(f"c{b}") for b in range(KEPT)]
-    return rows.groupBy("one", *keys).agg(*bits, *sizes).drop("one")
+    return rows.groupBy("one", *keys, "chunk").agg(*bits, *sizes).drop("one")
 
 
 def forms(lines: DataFrame) -> DataFrame:
-    """(id, level, n, nw, b0, c0, ..., first_at, last_at) of the distinct normal forms, for each level."""
-    where = F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
-    values = ["n", "nw", *(f"b{b}" for b in range(KEPT)), *(f"c{b}" for b in range(KEPT))]
-    return lines.groupBy("id", "level").agg(*(F.max(x).alias(x) for x in values), F.min(where).alias("first_at"), F.max(where).alias("last_at"))
+    """(id, level, n, nw, b0, c0, ..., more, first_at) of the distinct normal forms, for each level: the first KEPT blocks and
+    the keys of those beyond them."""
+    first = lambda x: F.max(F.when(F.col("chunk") == 0, F.col(x))).alias(x)
+    some = lambda x: F.coalesce(first(x), F.lit(0)).alias(x)  # noqa: E731  none of a long line's words may be in its first blocks
+    blocks = [some(x) for x in (*(f"b{b}" for b in range(KEPT)), *(f"c{b}" for b in range(KEPT)))]
+    more = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("chunk") > 0, _long_keys(F.col("chunk")))))).alias("more")
+    return lines.groupBy("id", "level").agg(F.max("n").alias("n"), F.max("nw").alias("nw"), *blocks, more, F.min(_where()).alias("first_at"))
 
 
-def keys(known: DataFrame) -> DataFrame:
-    """(key, x, n) of each list that a form is in."""
+def _where() -> Column:
+    return F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
+
+
+def _key(blocks: Sequence[int], chunk: Column | None = None) -> Column:
+    under = sum((F.col(f"c{b}") for b in blocks[1:]), F.col(f"c{blocks[0]}"))
+    names = [F.lit(b) if chunk is None else chunk * KEPT + b for b in blocks]
+    return F.when(under >= (LEAST_SEVERAL if len(blocks) > 1 else LEAST_ONE), F.xxhash64("level", *names, *(f"b{b}" for b in blocks)))
+
+
+def _long_keys(chunk: Column) -> Column:
+    return F.array_compact(F.array(*(_key([b], chunk) for b in range(KEPT))))
 
-    def key(blocks: Sequence[int]) -> Column:
-        under = sum((F.col(f"c{b}") for b in blocks[1:]), F.col(f"c{blocks[0]}"))
-        return F.when(under >= (LEAST_SEVERAL if len(blocks) > 1 else LEAST_ONE), F.xxhash64("level", *(F.lit(b) for b in blocks), *(f"b{b}" for b in blocks)))
 
+def keys(known: DataFrame) -> DataFrame:
+    """(key, x, n) of each list that a form is in, of forms or of lines."""
     ws = F.sort_array(F.slice(F.array(*(f"b{b}" for b in range(TINY))), 1, F.least("nw", F.lit(TINY))))
     but_one = F.transform(ws, lambda _, i: F.xxhash64("level", F.filter(ws, lambda _, j: i != j)))
     tiny = F.array_distinct(F.concat(F.array(F.xxhash64("level", ws)), but_one))
-    every = F.when(F.col("level") == WORDS, tiny).when(F.col("level") >= len(SHORT), F.array_compact(F.array(*(key([b]) for b in range(KEPT)))))
+    long = _long_keys(F.col("chunk")) if "chunk" in known.columns else F.concat(_long_keys(F.lit(0)), "more")
+    every = F.when(F.col("level") == WORDS, tiny).when(F.col("level") >= len(SHORT), long)
     for k, (_, blocks, few) in enumerate(SHORT):
-        every = every.when(F.col("level") == k, F.array_compact(F.array(*(key(c) for c in combinations(range(blocks), few)))))
+        every = every.when(F.col("level") == k, F.array_compact(F.array(*(_key(c) for c in combinations(range(blocks), few)))))
     return known.select(F.explode(every).alias("key"), F.col("id").alias("x"), "n")
 
 
-def further_keys(known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, x, n) of the lists of the blocks that ``known`` has no columns for: those of long lines beyond the first KEPT, made
-    of their words, which are read again."""
-    long = known.where((F.col("level") >= len(SHORT)) & (_n_blocks(F.col("level")) > KEPT)).select(F.col("id").alias("x"), "level", "n")
-    long = stage(long, "long-lines")
-    texts = _texts(long.select("x").distinct(), known, docs)
-    rows = texts.join(long, "x").select("x", "n", "level", F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
-    rows = rows.select("x", "n", "level", F.xxhash64("w").alias("h"), F.length("w").alias("chars"))
-    rows = rows.withColumn("k", F.pmod(F.hash("h"), _n_blocks(F.col("level")))).where(F.col("k") >= KEPT)
-    blocks = rows.groupBy("x", "n", "level", "k").agg(F.bit_xor("h").alias("b"), F.sum("chars").alias("under"))
-    return blocks.where(F.col("under") >= LEAST_ONE).select(F.xxhash64("level", "k", "b").alias("key"), "x", "n")
-
-
 def _listed(keyed: DataFrame) -> DataFrame:
-    """The members of lists of two forms or more."""
-    keyed = keyed.repartition("key")
-    # Both sides read one exchange: the aggregate uses every column of it, as the join does.
-    several = keyed.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.min("n").alias("least")).where((F.col("low") < F.col("high")) & (F.col("least") >= 0)).select("key")
-    return keyed.join(several.hint("shuffle_hash"), "key")
+    """The members of lists of two forms or more: those with another one beside them, so that keys are moved once."""
+    order = Window.partitionBy("key").orderBy("x")
+    beside = [F.coalesce(f("x").over(order) != F.col("x"), F.lit(False)) for f in (F.lag, F.lead)]
+    return keyed.withColumn("several", beside[0] | beside[1]).where("several").drop("several")
 
 
 def _lengths_fit(a: Column, b: Column) -> Column:
@@ -184,9 +186,11 @@ def _in_full(members: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def links(known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of linked forms."""
-    listed = stage(_listed(keys(known).unionByName(further_keys(known, docs))), "line-lists")
+    """(node, component) of linked forms. Of lines, forms are made of those in lists alone."""
+    listed = stage(_listed(keys(known)), "line-lists")
     central = stage(listed.groupBy("x").agg(F.count("*").alias("shared")), "listed-lines")
+    if "first_at" not in known.columns:
+        known = stage(forms(known.join(central.select(F.col("x").alias("id")), "id", "left_semi")), "forms")
     texts = stage(_texts(central.select("x"), known, docs), "line-texts")
     members = stage(listed.join(central, "x").select("key", "x", "n", "shared", F.col("x").alias("c"), F.lit(False).alias("done")), "line-lists")
     unstage(listed, central)
@@ -261,19 +265,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(similar).select(F.col("p").alias("a"), F.col("x").alias("b"))
 
 
+def _once(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines that stand first of their form."""
+    again = ids.where(F.col("first_at") < F.col("last_at")).select("id", "first_at")
+    if again.count() <= BROADCAST_IDS:  # about 60 bytes each
+        again = F.broadcast(again)
+    return lines.join(again, "id", "left").where(F.coalesce(F.col("first_at") == _where(), F.lit(True))).select(*lines.columns)
+
+
 def extra_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, gone): the numbers of the lines that an earlier line of their group makes superfluous."""
     seen = stage(line_table(docs), "lines")
-    known = stage(forms(seen), "forms")
-    comps = links(known, docs)
-    several = known.select("id", "first_at", "last_at").distinct().join(comps.withColumnsRenamed({"node": "id"}), "id", "left")
+    ids = stage(seen.groupBy("id").agg(F.min(_where()).alias("first_at"), F.max(_where()).alias("last_at")), "line-ids")
+    comps = links(_once(seen, ids), docs)
+    several = ids.join(comps.withColumnsRenamed({"node": "id"}), "id", "left")
     several = several.select("id", F.coalesce("component", "id").alias("g"), "first_at", "last_at")
     groups = several.groupBy("g").agg(F.min("first_at").alias("first"), F.max("last_at").alias("last"))
     firsts = several.select("id", "g").join(groups.where(F.col("first") < F.col("last")), "g").select("id", "first")
-    where = F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
-    gone = seen.select("doc_id", "row", "at", "id").join(firsts, "id").where(where != F.col("first"))
+    gone = seen.select("doc_id", "row", "at", "id").join(firsts, "id").where(_where() != F.col("first"))
     out = stage(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("gone")), "extra-lines")
-    unstage(known, seen)
+    unstage(ids, seen)
     return out
 
 

@@ -686,3 +686,24 @@ def test_long_lines_that_differ_in_the_first_blocks(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert _similar(" ".join(words), " ".join(other))
     assert [x.n_lines_gone for x in lines.digest(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_keys_of_lines_are_moved_once(spark, tmp_path):
+    """The line table has the keys of all blocks, as forms have, and lists are found with one exchange of them."""
+    r, ws = random.Random(7), sorted({*vocabulary(14, 3000)})
+    texts = [" ".join(r.sample(ws, n)) for n in (5, 22, 30, 200)]
+    hashed = {x.w: x.k for x in spark.createDataFrame([(w,) for w in ws], "w string").select("w", F.hash(F.xxhash64("w")).alias("k")).collect()}
+    lines.line_table(spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")).write.parquet(str(tmp_path / "lines"))
+    table = spark.read.parquet(str(tmp_path / "lines"))
+    keyed = lines.keys(table)
+    got = {(x.key, x.x, x.n) for x in keyed.collect()}
+    assert got == {(x.key, x.x, x.n) for x in lines.keys(lines.forms(table)).collect()}
+    long = [x.id for x in table.where("doc_id = 3").select("id").distinct().collect()]
+    under = Counter()
+    for w in texts[3].split(" "):
+        under[hashed[w] % 46] += len(w)  # of 200 words, and of the 222 that a line like it may have
+    expected = sum(x >= lines.LEAST_ONE for x in under.values())
+    assert sum(x in long for _, x, _ in got) == expected > 2 * lines.KEPT
+    listed = lines._listed(keyed)
+    assert listed.count() == 0 and lines._listed(keyed.unionByName(keyed.withColumn("x", F.lit(0).cast("long")))).count() > 0
+    assert listed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
